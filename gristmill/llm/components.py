@@ -16,13 +16,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     round is a written table: a lost executor costs that round's tasks only. No edges give no rows.
     """
     both = settle(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct(), "edges")
-    labels = settle(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least")).select("node", F.least("node", "least").alias("component")), "labels")
+    labels = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least")).select("node", F.least("node", "least").alias("component"))
     while True:
         near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("component").alias("near"))
-        hooked = settle(labels.join(near, labels.node == near.u).select("node", F.least("component", "near").alias("component"), F.col("component").alias("old")), "labels")
+        hooked = labels.join(near, labels.node == near.u).select("node", F.least("component", "near").alias("component"), F.col("component").alias("old"))
         target = hooked.select(F.col("node").alias("at"), F.col("component").alias("next"))
         jumped = settle(hooked.join(target, hooked.component == target["at"]).select("node", F.col("next").alias("component"), "old"), "labels")
-        moved = jumped.where("component <> old").limit(1).count()
         labels = jumped.select("node", "component")
-        if not moved:
+        if jumped.where("component <> old").limit(1).count() == 0:
             return labels

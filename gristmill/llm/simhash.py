@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gristmill.llm._shared import settle
 from gristmill.llm._tokens import LOWER, Texts, mix, texts_of, words
@@ -270,6 +271,13 @@ def _linked(dealt: DataFrame, radius: int) -> DataFrame:
     return dealt.repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(run, "u long, v long")
 
 
+def _grouped(prints: DataFrame, radius: int) -> DataFrame:
+    """``fp, first, root``: each distinct fingerprint, its smallest document id, and the fingerprint that names its component."""
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    component = connected_components(fingerprint_links(distinct, radius))
+    return distinct.join(component, distinct.fp == component.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words_per_shingle: int = 3, seed: int = 42) -> DataFrame:
     """``doc_id, fp, component_id``: every input row with its fingerprint and the smallest document id that a chain of links reaches.
 
@@ -278,14 +286,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the smallest; a group of null ids only has component null. Empty input gives no rows.
     """
     prints = settle(fingerprints(docs, id_col, text_col, words_per_shingle, seed), "fingerprints")
-    distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    component = connected_components(fingerprint_links(distinct, radius))
-    rooted = distinct.join(component, distinct.fp == component.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    rooted = settle(rooted, "rooted")
+    rooted = _grouped(prints, radius)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     by_print = rooted.join(least, "root").select(F.col("fp").alias("print"), "component_id")
     return prints.join(by_print, prints.fp == by_print.print).select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words_per_shingle: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of ``docs`` with one left of each group of near-duplicates: that of the smallest id, one of repeated rows."""
+    prints = settle(fingerprints(docs, id_col, text_col, words_per_shingle, seed), "fingerprints")
+    best = _grouped(prints, radius).groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "fp")).alias("best"))
+    kept = best.select(F.col("best.first").alias("_kept_id"), F.col("best.fp").alias("_kept_fp"))
+    at, columns = "_fp", docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [text_fingerprints(t, words_per_shingle, seed) for t in texts_of(batch.column(batch.schema.get_field_index(text_col)))]
+            fp = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*batch.schema.names, at])
+
+    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(at, T.LongType())]))
+    own_id = F.col(id_col).cast("long")
+    joined = marked.join(kept, own_id.eqNullSafe(F.col("_kept_id")) & (F.col(at) == F.col("_kept_fp")))
+    return joined.dropDuplicates(["_kept_id", "_kept_fp"]).select(*columns)
+
+
 def hex_fingerprint(column):
     return F.lower(F.lpad(F.hex(column), 16, "0"))
