@@ -5,26 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gristmill.llm import decontam, langid, mixing, pii, simhash
-from gristmill.llm._shared import table
+from gristmill.llm import decontam, langid, mixing, pii, quality_model, quality_rules, simhash, token_rollup, warc
+from gristmill.llm._shared import scratch_path, table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.classify(docs, quality_model.fit(docs))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.predict(docs, langid.fit(docs))
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -33,12 +48,24 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_rollup.token_counts(table(spark, sf_dir, "documents")).withColumn("op", F.lit("upsert"))
+    rollup = token_rollup.TokenRollup(spark, scratch_path(spark, "tokens"))
+    rollup.apply(1, counts)
+    rollup.apply(1, counts)  # sent twice: counts once
+    return rollup.totals()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_language_id": op3_language_id,
+    "op4_quality_rules": op4_quality_rules,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_warc": op6_warc,
     "op7_source_mixing": op7_source_mixing,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {}
