@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import decontam, langid, mixing, pii, quality_model, quality_rules, simhash, token_rollup, warc
+from gristmill.llm import decontam, langid, mixing, passages, pii, quality_model, quality_rules, simhash, token_rollup, warc
 from gristmill.llm._shared import scratch_path, table
 
 
@@ -48,6 +48,10 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_rollup.token_counts(table(spark, sf_dir, "documents")).withColumn("op", F.lit("upsert"))
     rollup = token_rollup.TokenRollup(spark, scratch_path(spark, "tokens"))
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": op6_warc,
     "op7_source_mixing": op7_source_mixing,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
