@@ -48,7 +48,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     by_stop = Window.orderBy((F.col("source_size") * EPOCHS / F.col("weight")), "sid")
     before, rest = by_stop.rowsBetween(Window.unboundedPreceding, -1), by_stop.rowsBetween(0, Window.unboundedFollowing)
     spread = weighed.select("*", F.coalesce(F.sum(F.col("source_size") * EPOCHS).over(before), F.lit(0)).alias("filled"), F.sum("weight").over(rest).alias("open_weight"))
-    stops = (F.col("source_size") * EPOCHS * F.col("open_weight") <= (F.col("total") - F.col("filled")) * F.col("weight")) & (F.col("source_size") * EPOCHS < F.col("total") - F.col("filled") + 1)
+    stops = F.col("source_size") * EPOCHS * F.col("open_weight") <= (F.col("total") - F.col("filled")) * F.col("weight")
     marked = spread.withColumn("open_from", F.min(F.when(~stops, F.struct("filled", "open_weight"))).over(Window.partitionBy()))
     shared = (F.col("total") - F.col("open_from.filled")).cast("double") * F.col("weight") / F.col("open_from.open_weight")
     full = (F.col("source_size") * EPOCHS).cast("double")
@@ -60,7 +60,7 @@ def apportion(parties: DataFrame, within: list[str], party: str, votes: str, sea
     """``parties`` with ``quota``: Sainte-Laguë seats of each party among those of its group.
 
     ``votes`` are shares of the group's ``seats``; a seat's quotient is votes / (2 * seats before it + 1), highest first,
-    then by party. A party gets at most ``most`` seats. The seats that a party surely has are given at once: with
+    then by party. A party gets at most ``most`` seats, one without votes none. The seats that a party surely has are given at once: with
     divisor V / (N - m / 2) for m parties, rounding gives no seat whose quotient is not among the N highest; and with
     V / (N + m / 2) it gives all that are. Only the few quotients between the two are ranked.
     """
@@ -72,7 +72,7 @@ def apportion(parties: DataFrame, within: list[str], party: str, votes: str, sea
     # One seat less and two more than that, so that no rounding error of a division can matter.
     bounded = every.withColumn("_sure", F.least(F.greatest(sure.cast("long") - 1, F.lit(0)), F.col(most))).withColumn("_top", F.least(top.cast("long") + 2, F.col(most)))
     open_seats = bounded.withColumn("_open", F.col(seats) - F.sum("_sure").over(group))
-    steps = F.explode_outer(F.when(F.col("_top") > F.col("_sure"), F.sequence("_sure", F.col("_top") - 1)))
+    steps = F.explode_outer(F.when((F.col(votes) > 0) & (F.col("_top") > F.col("_sure")), F.sequence("_sure", F.col("_top") - 1)))
     quotients = open_seats.select("*", steps.alias("_k"))
     order = group.orderBy((F.col(votes) / (2 * F.col("_k") + 1)).desc_nulls_last(), party, "_k")
     won = quotients.select("*", (F.col("_k").isNotNull() & (F.row_number().over(order) <= F.col("_open"))).alias("_won"))

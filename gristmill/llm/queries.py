@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import decontam, langid, mixing, passages, pii, quality_model, quality_rules, simhash, token_rollup, warc
+from gristmill.llm import decontam, langid, mixing, oracles, passages, pii, quality_model, quality_rules, simhash, token_rollup, warc
 from gristmill.llm._shared import scratch_path, table
 
 
@@ -73,4 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_quality_rules": oracles.OP4,
+    "op6_warc": oracles.OP6,
+    "op7_source_mixing": oracles.OP7,
+}

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from gristmill.llm._shared import scratch_path
 
 VERSION = b"WARC/1.1"
+_VERSION_LINE = re.compile(rb"WARC/[0-9]+\.[0-9]+\r\n")
 _MAGIC = b"\x1f\x8b\x08"
 #: Compressed bytes of a chunk that is written as one row, and chunks of a file.
 CHUNK, CHUNKS_PER_FILE = 1 << 20, 16
@@ -75,7 +76,7 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to
 
 def parse_record(data: bytes, at: int = 0) -> tuple[Record, int] | str:
     """The record that begins at ``at`` and where it ends, or what is wrong with it. Length, end and digest are checked."""
-    if not data.startswith(b"WARC/", at):
+    if not _VERSION_LINE.match(data, at):
         return "no version line"
     stop = data.find(b"\r\n\r\n", at)
     if stop < 0:
