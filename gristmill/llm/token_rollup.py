@@ -19,6 +19,7 @@ TOKENIZERS = "/opt/tokenizers"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DIMENSIONS = ("source", "lang", "tokenizer_version")
 _STATE = "doc_id long, source string, lang string, tokenizer_version string, n_tokens long, batch long"
+_STATE_COLUMNS = ("doc_id", "source", "lang", "tokenizer_version", "n_tokens")
 _DELTA = "source string, lang string, tokenizer_version string, d_docs long, d_tokens long"
 
 
@@ -106,6 +107,8 @@ class TokenRollup:
         if before and batch < max(before):
             raise ValueError(f"batch {batch} comes after batch {max(before)}")
         attempt = f"{self.path}/attempts/{uuid.uuid4().hex}"
+        changes.select("op", *_STATE_COLUMNS).write.parquet(f"{attempt}/changes")  # counting is done once
+        changes = self.spark.read.schema(f"op string, {_STATE.rpartition(',')[0]}").parquet(f"{attempt}/changes")
         named, nameless = changes.where("doc_id IS NOT NULL"), changes.where("doc_id IS NULL AND op <> 'delete'")
         rank = F.row_number().over(Window.partitionBy("doc_id", "tokenizer_version").orderBy(F.col("op") != "delete", F.col("n_tokens").desc_nulls_last(), "source", "lang"))
         new = named.select("*", rank.alias("_rank")).where("_rank = 1").drop("_rank")
