@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.functions.text import truncate
+
 FIELD = ["question_id", "table", "column"]
 CANDIDATES, FALLBACK, S1_CAP = 50, 15, 20
 S2_EXTRA, S2_CAP, COVERAGE, LEAST_LEFT = 10, 25, 0.8, 3
@@ -64,6 +66,11 @@ def with_foreign_keys(selected: DataFrame, edges: DataFrame) -> DataFrame:
     return selected.select(*FIELD).union(local).union(remote).distinct()
 
 
+def evidence_excerpt(evidence):
+    """Evidence as a prompt of the linker shows it: its first 500 characters, with dots where more was cut."""
+    return truncate(F.coalesce(evidence, F.lit("")), EVIDENCE_CHARS)
+
+
 def _ranked(selected: DataFrame, candidates: DataFrame) -> DataFrame:
     return selected.join(candidates.select(*FIELD, "rank"), FIELD, "left")
 

@@ -108,3 +108,29 @@ def subset(profile: DataFrame, fields: DataFrame) -> DataFrame:
     """The profile's rows of the given fields, their ordinals counted anew within each table, in the order of the schema."""
     kept = profile.join(fields.select("table", "column").distinct(), ["table", "column"], "left_semi")
     return kept.withColumn("ordinal", (F.row_number().over(Window.partitionBy("table").orderBy("ordinal")) - 1))
+
+
+def parse_ddl(schemas: DataFrame, text_col: str = "schema") -> DataFrame:
+    """``table, ordinal, column, affinity, is_primary_key, foreign_key`` of a schema text as ``ddl`` renders it; names may be quoted.
+
+    For texts from elsewhere; what the engine renders itself it keeps as tables.
+    """
+    name = r'("(?:[^"]|"")+"|[A-Za-z0-9_]+)'
+    unquoted = lambda c: F.when(c.startswith('"'), F.replace(F.expr("substring(n, 2, length(n) - 2)"), F.lit('""'), F.lit('"'))).otherwise(c)
+    blocks = schemas.select(F.explode(F.regexp_extract_all(text_col, F.lit(rf"(?s)CREATE TABLE {name} \(\n(.*?)\n\);"), F.lit(0))).alias("b"))
+    tables = blocks.select(F.regexp_extract("b", rf"CREATE TABLE {name}", 1).alias("n"), F.regexp_extract("b", r"(?s)\(\n(.*)\n\);", 1).alias("body"))
+    lines = tables.select(unquoted(F.col("n")).alias("table"), F.posexplode(F.split("body", "\n")).alias("ordinal", "line"))
+    parts = lines.select("table", "ordinal", "line", F.regexp_extract("line", rf"^  {name} ([A-Z]+)", 1).alias("n"), F.regexp_extract("line", rf"^  {name} ([A-Z]+)", 2).alias("affinity"))
+    reference = F.regexp_extract("line", r"FK → (.+)$", 1)
+    return parts.where("n <> ''").select("table", "ordinal", unquoted(F.col("n")).alias("column"), "affinity", F.col("line").rlike(r"^  .* PRIMARY KEY(?:,|  --|$)").alias("is_primary_key"), F.when(reference != "", reference).alias("foreign_key"))
+
+
+def parse_markdown(schemas: DataFrame, text_col: str = "schema") -> DataFrame:
+    """``table, ordinal, column, affinity, is_primary_key, foreign_key`` of a schema text as ``markdown`` renders it."""
+    tables = schemas.select(F.explode(F.filter(F.split(text_col, r"(?m)^## Table: "), lambda t: t != "")).alias("t"))
+    rows = tables.select(F.regexp_extract("t", r"^(.*?)\n", 1).alias("table"), F.posexplode(F.slice(F.regexp_extract_all("t", F.lit(r"(?m)^\| .*$"), F.lit(0)), 2, 1_000_000)).alias("ordinal", "line"))
+    # A pipe inside a cell has a backslash before it.
+    cells = rows.select("table", "ordinal", F.transform(F.split("line", r"(?<!\\)\|"), lambda c: F.btrim(F.replace(c, F.lit("\\|"), F.lit("|")))).alias("c"))
+    kind = F.col("c")[2]
+    reference = F.regexp_extract(kind, r"\(FK→(.+)\)", 1)
+    return cells.select("table", "ordinal", F.col("c")[1].alias("column"), F.regexp_extract(kind, r"^[A-Z]+", 0).alias("affinity"), kind.contains("(PK)").alias("is_primary_key"), F.when(reference != "", reference).alias("foreign_key"))

@@ -116,9 +116,17 @@ def schema_markdown_regions(spark, sf_dir):
     return render.markdown(found, render.summarize(found))
 
 
+def schema_parsed(spark, sf_dir):
+    """Both renderings read back: their columns with types and keys."""
+    catalog, found, summaries = _rendered(spark, sf_dir)
+    from_ddl = render.parse_ddl(render.whole_schema(render.ddl(found, summaries, catalog.foreign_key_frame()))).withColumn("form", F.lit("ddl"))
+    from_markdown = render.parse_markdown(render.whole_schema(render.markdown(found, summaries))).withColumn("form", F.lit("markdown"))
+    return from_ddl.unionByName(from_markdown)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (profile_nulls, profile_distinct, profile_distinct_estimate, profile_topk_values, profile_numeric_stats, profile_time_range, profile_text_length, profile_type_affinity, profile_totals, profile_keys, fk_containment, column_signatures, column_summaries, schema_ddl, schema_markdown, schema_markdown_regions)
+    for f in (profile_nulls, profile_distinct, profile_distinct_estimate, profile_topk_values, profile_numeric_stats, profile_time_range, profile_text_length, profile_type_affinity, profile_totals, profile_keys, fk_containment, column_signatures, column_summaries, schema_ddl, schema_markdown, schema_markdown_regions, schema_parsed)
 }
 
 
@@ -151,6 +159,7 @@ ORACLES = {
     f"FROM (VALUES {', '.join(f'({d!r})' for d in _DECLARED)}) AS v(declared)",
     "profile_totals": _column_values() + " SELECT count(DISTINCT t) AS total_tables, count(*) AS total_columns FROM cols",
     "profile_keys": _column_values() + f' SELECT t AS "table", c AS "column", ordinal::INTEGER AS ordinal, {_AFFINITY} AS affinity, k.c IS NOT NULL AS is_primary_key, ref AS foreign_key FROM cols LEFT JOIN k USING (t, c) LEFT JOIN r USING (t, c) WHERE k.c IS NOT NULL OR ref IS NOT NULL',
+    "schema_parsed": _column_values() + f' SELECT t AS "table", ordinal::INTEGER AS ordinal, c AS "column", {_AFFINITY} AS affinity, k.c IS NOT NULL AS is_primary_key, CASE WHEN t = \'nation\' OR t = \'supplier\' THEN ref END AS foreign_key, form FROM cols LEFT JOIN k USING (t, c) LEFT JOIN r USING (t, c), (VALUES (\'ddl\'), (\'markdown\')) AS v(form) WHERE t IN (\'nation\', \'part\', \'region\', \'supplier\')',
     "column_summaries": _column_values() + " SELECT t AS \"table\", c AS \"column\", 'The ' || c || ' field in the ' || t || ' table.' AS short_summary, 'The ' || c || ' field in the ' || t || ' table.' AS long_summary FROM cols",
     "schema_markdown_regions": """SELECT 'region' AS "table", '## Table: region' || chr(10) || '*The r_regionkey field in the region table.*' || chr(10) || chr(10) || '| Column | Type | Description | Sample Values |' || chr(10) || '|--------|------|-------------|---------------|' || chr(10)
 || '| r_regionkey | INTEGER (PK) | The r_regionkey field in the region table. | ' || (SELECT string_agg(v, ', ') FROM (SELECT r_regionkey::VARCHAR AS v FROM region ORDER BY v LIMIT 3)) || ' |' || chr(10)

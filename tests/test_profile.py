@@ -87,3 +87,12 @@ CREATE TABLE "my table" (
   b INTEGER PRIMARY KEY  -- The b field in the my table table.
 );
 -- Example row: ('{"x" * 50}...', 1)"""
+
+
+def test_rendered_schemas_read_back(spark):
+    c = Catalog("q", {"my table": spark.createDataFrame([("x|y", 1)], "`a \"col|` string, b int"), "u": spark.createDataFrame([(1,)], "k int")}, {"my table": ["b"], "u": ["k"]}, [("my table", "b", "u", "k")])
+    found = profile.profile_catalog(c)
+    summaries = render.summarize(found)
+    want = [("my table", 0, 'a "col|', "TEXT", False, None), ("my table", 1, "b", "INTEGER", True, "u.k"), ("u", 0, "k", "INTEGER", True, None)]
+    for got in (render.parse_ddl(render.whole_schema(render.ddl(found, summaries, c.foreign_key_frame()))), render.parse_markdown(render.whole_schema(render.markdown(found, summaries)))):
+        assert sorted(map(tuple, got.collect())) == want
