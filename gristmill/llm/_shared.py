@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch between the JVM and Python.
+BATCH_BYTES = 4 << 20
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -63,5 +66,22 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow``, with the session's Arrow batches bounded to ``BATCH_BYTES``, so that long texts do not add up."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(conf.get(key).removesuffix("b"))
+    if now <= 0 or now > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """The name, with underscores added until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

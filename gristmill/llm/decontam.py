@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.llm._shared import map_batches
 from gristmill.llm._tokens import shingle_hashes, squeeze, texts_of, whole_shingles, word_hashes, words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -230,7 +231,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
                     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
 
-        out = out.union(rows.mapInArrow(run, _SCHEMA))
+        out = out.union(map_batches(rows, run, _SCHEMA))
     return out
 
 
@@ -245,5 +246,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
                 keep[[i for i, _ in matches(batch.column(batch.schema.get_field_index(text_col)))]] = False
                 yield batch if keep.all() else batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_batches(docs, run, docs.schema)
     return docs

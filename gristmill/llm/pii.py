@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.llm._shared import map_batches
 from gristmill.llm._tokens import texts_of
 
 #: The kinds in the order of the output. The first four are found by pattern and validator alone, whatever their score.
@@ -163,7 +164,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, type=_ARROW_SPANS)], names=["doc_id", "found"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, found {SPANS}")
+    return map_batches(rows, run, f"doc_id long, found {SPANS}")
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -178,7 +179,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 batch = batch.set_column(at, batch.schema.names[at], pc.coalesce(new, batch.column(at)))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

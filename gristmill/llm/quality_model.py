@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm._shared import settle
+from gristmill.llm._shared import map_batches, settle
 from gristmill.llm._tokens import PIECE, Texts, texts_of, word_hashes, words
 
 ABSTAIN, GOOD, BAD = 0, 1, 2
@@ -223,7 +223,7 @@ def vote_patterns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             p = np.concatenate(found) if found else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.astype(np.int64))], names=["doc_id", "pattern"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, pattern long")
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, pattern long")
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, seed: int = 5) -> QualityModel:
@@ -273,4 +273,4 @@ def classify(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array(np.concatenate(posterior)), pa.array(s >= least)], names=["doc_id", "score", "label_posterior", "kept"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, label_posterior double, kept boolean")
+    return map_batches(rows, run, "doc_id long, score double, label_posterior double, kept boolean")

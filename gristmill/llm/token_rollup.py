@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gristmill.llm._shared import map_batches
+
 TOKENIZERS = "/opt/tokenizers"
 #: The pre-tokenizer pattern that belongs to byte-level ranks of this kind; a fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -48,7 +50,7 @@ def token_counts(docs: DataFrame, tokenizer_version: str = "byte_bpe_50k", token
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([tokenizer_version] * len(n), type=pa.string()), pa.array(n)], names=["doc_id", "source", "lang", "tokenizer_version", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, source string, lang string, tokenizer_version string, n_tokens long")
+    return map_batches(rows, run, "doc_id long, source string, lang string, tokenizer_version string, n_tokens long")
 
 
 class TokenRollup:

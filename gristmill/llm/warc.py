@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm._shared import scratch_path
+from gristmill.llm._shared import map_batches, scratch_path
 
 VERSION = b"WARC/1.1"
 _VERSION_LINE = re.compile(rb"WARC/[0-9]+\.[0-9]+\r\n")
@@ -204,7 +204,7 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, id_c
         for chunk in _chunks(members()):
             yield pa.RecordBatch.from_arrays([pa.array([chunk], type=pa.binary())], names=["value"])
 
-    chunks = planned.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    chunks = map_batches(planned, run, "value binary").select(F.col("value").cast("string").alias("value"))
     chunks.write.option("lineSep", "\x00").option("maxRecordsPerFile", CHUNKS_PER_FILE).text(path)
 
 
@@ -234,7 +234,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
                 if out:
                     yield _batch(out)
 
-    return files.mapInArrow(run, _RECORDS)
+    return map_batches(files, run, _RECORDS)
 
 
 def _row(name: str, item: Record | Gap, with_payload: bool) -> tuple:
