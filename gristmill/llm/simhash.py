@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm._shared import settle
+from gristmill.llm._shared import fresh, map_batches, settle
 from gristmill.llm._tokens import LOWER, Texts, mix, texts_of, words
 from gristmill.llm.components import connected_components
 
@@ -149,7 +149,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(run, "doc_id long, fp long")
+    return map_batches(kept, run, "doc_id long, fp long")
 
 
 def _blocks(mask: int) -> list[int]:
@@ -268,7 +268,7 @@ def _linked(dealt: DataFrame, radius: int) -> DataFrame:
         if len(group):
             yield links(group, fp)
 
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(run, "u long, v long")
+    return map_batches(dealt.repartition("bucket").sortWithinPartitions("bucket", "fp"), run, "u long, v long")
 
 
 def _grouped(prints: DataFrame, radius: int) -> DataFrame:
@@ -296,8 +296,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` with one left of each group of near-duplicates: that of the smallest id, one of repeated rows."""
     prints = settle(fingerprints(docs, id_col, text_col, words_per_shingle, seed), "fingerprints")
     best = _grouped(prints, radius).groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "fp")).alias("best"))
-    kept = best.select(F.col("best.first").alias("_kept_id"), F.col("best.fp").alias("_kept_fp"))
-    at, columns = "_fp", docs.columns
+    # Null ids get a value of their own, so that the join and the last step agree on plain keys and texts move once.
+    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))
+    own, at, columns = fresh("_id", docs), fresh("_fp", docs), docs.columns
+    kept = best.select(key("best.first").alias(own), F.col("best.fp").alias(at))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,10 +307,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             fp = np.concatenate(found) if found else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*batch.schema.names, at])
 
-    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(at, T.LongType())]))
-    own_id = F.col(id_col).cast("long")
-    joined = marked.join(kept, own_id.eqNullSafe(F.col("_kept_id")) & (F.col(at) == F.col("_kept_fp")))
-    return joined.dropDuplicates(["_kept_id", "_kept_fp"]).select(*columns)
+    marked = map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField(at, T.LongType())]))
+    joined = marked.withColumn(own, key(id_col)).join(kept, [own, at], "left_semi")
+    return joined.dropDuplicates([own, at]).select(*columns)
 
 
 def hex_fingerprint(column):

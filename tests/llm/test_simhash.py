@@ -9,7 +9,7 @@ from gristmill.llm import simhash
 from gristmill.llm._tokens import texts_of
 from gristmill.llm.components import connected_components
 
-SCHEMA = "doc_id long, text string, fp string, u string"
+SCHEMA = "doc_id long, text string, _fp string, _ID string"
 
 
 def brute_fingerprint(text):
@@ -105,7 +105,7 @@ def test_rows_of_every_kind(spark):
     expected = sorted(((r[0], f, least.get(g)) for r, f, g in zip(rows, fps, root, strict=True)), key=key)
     assert sorted(((r.doc_id, r.fp % (1 << 64), r.component_id) for r in found), key=key) == expected
     left = simhash.one_of_each(spark.createDataFrame(rows, SCHEMA))
-    assert left.columns == ["doc_id", "text", "fp", "u"]
+    assert left.columns == ["doc_id", "text", "_fp", "_ID"]
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(least.get(g)) for g in set(root))
 
 
