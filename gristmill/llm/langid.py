@@ -10,8 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from gristmill.llm._shared import map_batches
 from gristmill.llm._tokens import LOWER, PIECE, Texts, texts_of
 
 BUCKETS, SIZE = 1 << 15, 16
@@ -113,7 +113,7 @@ def train(samples: list[tuple[str, str]], epochs: int = 2, rate: float = 0.5, se
     """Fit on (language, whole text) pairs; a fifth of the texts is kept back to calibrate the temperature and the rejection.
 
     The temperature is the one of least log loss there. A prediction is rejected below the lowest score at which
-    accepted predictions err at most once in 200, but never more than one in 200 correct ones is given up for it.
+    accepted predictions err at most once in 50, but never more than one in 1000 correct ones is given up for it.
     """
     langs = sorted({lang for lang, _ in samples})
     if not langs:
@@ -157,7 +157,7 @@ def train(samples: list[tuple[str, str]], epochs: int = 2, rate: float = 0.5, se
     return model
 
 
-def _threshold(score: np.ndarray, right: np.ndarray, error: float = 0.005, given_up: float = 0.005) -> float:
+def _threshold(score: np.ndarray, right: np.ndarray, error: float = 0.02, given_up: float = 0.001) -> float:
     order = np.argsort(score, kind="stable")
     s, ok = score[order], right[order]
     kept = np.arange(len(s), 0, -1)
@@ -201,21 +201,31 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 
     Null texts and texts without letters are ``und`` with score 0, and rejected. Other columns are not read.
     """
-    return identify(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model).drop("text")
+    names = pa.array([*model.langs, UNKNOWN])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best, score, rejected = _judged(model, batch.column(1))
+            columns = [batch.column(0), names.take(pa.array(best % len(names))), pa.array(score), pa.array(rejected)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "rejected"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return map_batches(rows, run, "doc_id long, lang_pred string, score double, rejected boolean")
 
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with ``lang_pred``, ``score`` and ``rejected`` beside them."""
-    names = pa.array([*model.langs, UNKNOWN])
+
+def accepted(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model does not reject, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.predict(t) for t in texts_of(batch.column(batch.schema.get_field_index(text_col)))]
-            best, score, rejected = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0), np.zeros(0, bool))
-            added = [names.take(pa.array(best % len(names))), pa.array(score), pa.array(rejected)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
-
-    clash = {"lang_pred", "score", "rejected"} & set(docs.columns)
-    docs = docs.drop(*clash)
-    added = T.StructType().add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields + added.fields))
+            rejected = _judged(model, batch.column(batch.schema.get_field_index(text_col)))[2]
+            yield batch.filter(pa.array(~rejected)) if rejected.any() else batch
+
+    return map_batches(docs, run, docs.schema)
+
+
+def _judged(model: LanguageModel, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found = [model.predict(t) for t in texts_of(column)]
+    if not found:
+        return np.zeros(0, int), np.zeros(0), np.zeros(0, bool)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))

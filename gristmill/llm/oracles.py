@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gristmill.llm import mixing, quality_rules
+from gristmill.llm import decontam, mixing, pii, quality_rules
 
 _WORDS = r"list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _TRIMMED = "trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
@@ -99,3 +99,51 @@ got AS (
   FROM spans JOIN blocks USING (sid, shard, k) GROUP BY r)
 SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM lined LEFT JOIN got USING (r)
 """
+
+
+def _matches(kind: str, pattern: str) -> str:
+    """Start, text of every match of a pattern, from what lies between matches."""
+    return f"""SELECT r, {pii.KINDS.index(kind)} AS k, '{kind}' AS kind, ms[i] AS m,
+  (list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s
+  FROM (SELECT r, ms, parts, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT r, regexp_extract_all(t, '{pattern}', 0) AS ms, string_split_regex(t, '{pattern}') AS parts FROM d))"""
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse({_DIGITS}), i, 1)::INT WHEN substr(reverse({_DIGITS}), i, 1)::INT > 4 THEN substr(reverse({_DIGITS}), i, 1)::INT * 2 - 9 ELSE substr(reverse({_DIGITS}), i, 1)::INT * 2 END)) % 10 = 0"
+_CODE = "replace(m, ' ', '')"
+_MOD97 = f"""list_reduce(list_transform(string_split(array_to_string(list_transform(string_split(substr({_CODE}, 5) || substr({_CODE}, 1, 4), ''), lambda c: CASE WHEN c BETWEEN 'A' AND 'Z' THEN (ascii(c) - 55)::VARCHAR ELSE c END), ''), ''), lambda c: c::INT), lambda a, x: (a * 10 + x) % 97) = 1"""
+_SOCIAL = r"regexp_matches(lower(substr(t, greatest(s - 39, 1)::BIGINT, least(s, 40)::BIGINT) || ' ' || substr(t, (s + length(m) + 1)::BIGINT, 40)), '(^|[^\p{L}])(ssn|social|security)($|[^\p{L}])')"
+_AGAINST = r"regexp_matches(lower(substr(t, greatest(s - 39, 1)::BIGINT, least(s, 40)::BIGINT) || ' ' || substr(t, (s + length(m) + 1)::BIGINT, 40)), '(^|[^\p{L}])(example|sample|version|isbn|serial|order|invoice|test)($|[^\p{L}])')"
+
+OP1 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+found AS (
+  SELECT * FROM ({_matches("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")})
+  UNION ALL SELECT * FROM ({_matches("ip", r"[0-9]+(?:\.[0-9]+){3}")}) WHERE list_max(list_transform(string_split(m, '.'), lambda x: coalesce(try_cast(x AS UBIGINT), 999))) <= 255
+  UNION ALL SELECT * FROM ({_matches("card", r"[0-9](?:[\x20-]?[0-9])+")}) WHERE length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}
+  UNION ALL SELECT * FROM ({_matches("phone", r"\+[0-9][\x20().0-9-]+[0-9]")}) WHERE length({_DIGITS}) BETWEEN 9 AND 15
+  UNION ALL SELECT * FROM ({_matches("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b")}) WHERE length({_CODE}) BETWEEN 15 AND 34 AND {_MOD97}
+  UNION ALL SELECT v.* FROM ({_matches("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b")}) v JOIN d USING (r)
+    WHERE NOT regexp_matches(m, '^(000|666|9)|-00-|-0000$') AND {_SOCIAL} AND NOT {_AGAINST}),
+texts AS (SELECT r, k, s, kind || ':' || s || ':' || (s + length(m)) AS span FROM found)
+SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_email, count(*) FILTER (WHERE k = 1) AS n_ip, count(*) FILTER (WHERE k = 2) AS n_card, count(*) FILTER (WHERE k = 3) AS n_phone,
+       sha256(coalesce(string_agg(span, ',' ORDER BY k, s) FILTER (WHERE k < 4), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY k, s), '') AS spans
+FROM d LEFT JOIN texts USING (r) GROUP BY r, doc_id
+"""
+
+_PLAIN = r"list_filter(string_split_regex(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x08\x0e-\x1f!-/:-@\[-`{-\x7f]', '', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+#: Every window of an item's size that holds one of its shingles; items have five words at least.
+OP8 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_PLAIN} AS w FROM documents WHERE text IS NOT NULL),
+b AS (SELECT row_number() OVER () AS q, item_id, {_PLAIN} AS w FROM benchmark WHERE text IS NOT NULL),
+shingles AS (SELECT q, s, count(*) AS weight FROM (SELECT q, array_to_string(w[p:p + 4], ' ') AS s FROM (SELECT q, w, unnest(range(1, len(w) - 3)) AS p FROM b)) GROUP BY ALL),
+totals AS (SELECT q, sum(weight) AS total FROM shingles GROUP BY q),
+places AS (SELECT r, p, array_to_string(w[p:p + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS p FROM d)),
+hits AS (SELECT r, q, p, s, weight FROM places JOIN shingles USING (s)),
+windows AS (SELECT r, q, s, weight, unnest(range(greatest(1, p - (len(b.w) - 5)), least(p, greatest(len(d.w) - len(b.w) + 1, 1)) + 1)) AS place FROM hits JOIN d USING (r) JOIN b USING (q)),
+held AS (SELECT r, q, place, sum(least(n, weight)) AS shared FROM (SELECT r, q, place, s, weight, count(*) AS n FROM windows GROUP BY ALL) GROUP BY ALL),
+scored AS (SELECT r, q, place, shared::DOUBLE / total::DOUBLE AS similarity FROM held JOIN totals USING (q)),
+best AS (SELECT *, row_number() OVER (PARTITION BY r, q ORDER BY similarity DESC, place) AS n FROM scored WHERE similarity >= {decontam.SIMILARITY})
+SELECT doc_id, item_id, similarity, place - 1 AS first_word, len(b.w)::BIGINT AS n_words FROM best JOIN d USING (r) JOIN b USING (q) WHERE n = 1
+"""

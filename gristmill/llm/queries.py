@@ -12,7 +12,7 @@ from gristmill.llm._shared import scratch_path, table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
+    return pii.digest(pii.detect(table(spark, sf_dir, "documents"))).drop("scores")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_pii": oracles.OP1,
     "op4_quality_rules": oracles.OP4,
     "op6_warc": oracles.OP6,
     "op7_source_mixing": oracles.OP7,
+    "op8_benchmark_decontamination": oracles.OP8,
 }

@@ -2,9 +2,10 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 
-from gristmill.llm import decontam
+from gristmill.llm import decontam, oracles
 
 
 def norm(text):
@@ -78,3 +79,17 @@ def test_blocks_hold_all_within_the_radius():
             x ^= 1 << b
         size = int(index.size[i])
         assert i in [j for j, _ in index.near_items(np.array([x], dtype=np.uint64), size)]
+
+
+def test_equals_its_sql(spark, tmp_path):
+    docs, items = corpus(8)
+    items = [x for x in items if x is None or len(norm(x)) >= 5]
+    spark.createDataFrame([(i, t) for i, t in enumerate(docs)] + [(20, docs[20])], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string").write.parquet(str(tmp_path / "b"))
+    db = duckdb.connect()
+    for name, path in (("documents", "d"), ("benchmark", "b")):
+        db.sql(f"create view {name} as select * from '{tmp_path}/{path}/*.parquet'")
+    got = decontam.contaminated(spark.read.parquet(str(tmp_path / "d")), spark.read.parquet(str(tmp_path / "b")))
+    rows = sorted((*r[:2], round(r[2], 9), *r[3:]) for r in map(tuple, got.collect()))
+    assert rows == sorted((*r[:2], round(r[2], 9), *r[3:]) for r in db.sql(oracles.OP8).select(*got.columns).fetchall())
+    assert len(rows) > 20

@@ -31,6 +31,8 @@ def test_rows_of_every_kind(spark, model):
     assert [by_id[i].lang_pred for i in (0, 1, 2)] == ["und"] * 3 and [by_id[i].score for i in (0, 1, 2)] == [0.0] * 3
     assert by_id[3].lang_pred == "en" and by_id[5].lang_pred == "de" and by_id[4].lang_pred in model.langs
     assert langid.predict(df.limit(0), model).collect() == []
+    left = langid.accepted(df, model)
+    assert left.columns == df.columns and {r.doc_id for r in left.collect()} >= {3, 5, None} and left.where("doc_id < 3").count() == 0
 
 
 def test_long_texts_by_pieces_are_as_whole(model, monkeypatch):

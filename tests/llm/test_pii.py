@@ -1,10 +1,11 @@
 import hashlib
 import re
 
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gristmill.llm import pii
+from gristmill.llm import oracles, pii
 
 PLAIN = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
@@ -60,3 +61,12 @@ def test_rows_of_every_kind(spark):
     assert {r.text for r in clean.where("doc_id = 3").collect()} == {"é [EMAIL], 10.0.0.300 [IP]"}
     assert clean.where("doc_id is null").first().text == "[EMAIL]"
     assert pii.detect(df.limit(0)).collect() == [] and pii.redact(df.limit(0)).collect() == []
+
+
+def test_equals_its_sql_on_awkward_texts(spark, tmp_path):
+    texts = [None, "", "a@b.c@d.e f@g..h i@j.k", "1.2.3.4.5.6.7.8 001.2.3.256 999999999999999999999.1.1.1", "4111-1111 1111-1111 4111111111111112 55555555555544440", "+1 (663) 555-6869 ++12345678 +12", "GB82 WEST 1234 5698 7654 32. GB83 WEST 1234 5698 7654 32", "my SSN 123-45-6789, test ssn 123-45-6789", "social 000-12-3456 é@é.é ü.ü@x.yz"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(2, texts[2])], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{tmp_path}/d/*.parquet'")
+    got = pii.digest(pii.detect(spark.read.parquet(str(tmp_path / "d")))).drop("scores")
+    assert sorted(map(tuple, got.collect())) == sorted(db.sql(oracles.OP1).select(*got.columns).fetchall())
