@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,34 +29,38 @@ def as_text(name: str, kind: T.DataType) -> Column:
     return c.cast("string")
 
 
-def _measures(name: str, kind: T.DataType) -> Column:
+MEASURES = ("null_count", "min_value", "max_value", "avg_value", "min_time", "max_time", "avg_length")
+
+
+def _measures(name: str, kind: T.DataType, wanted: Sequence[str]) -> Column:
     c, affinity = F.col(f"`{name}`"), spark_affinity(kind)
     is_time = isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType)
     number = affinity in NUMERIC and not is_time
-    null = F.lit(None)
-    return F.struct(
-        F.lit(name).alias("column"),
-        F.lit(affinity).alias("affinity"),
-        F.count(F.lit(1)).alias("total_rows"),
-        F.sum(c.isNull().cast("long")).alias("null_count"),
-        (F.min(c.cast("double")) if number else null.cast("double")).alias("min_value"),
-        (F.max(c.cast("double")) if number else null.cast("double")).alias("max_value"),
-        (F.avg(c.cast("double")) if number else null.cast("double")).alias("avg_value"),
-        (F.date_format(F.min(c), "yyyy-MM-dd HH:mm:ss") if is_time else null.cast("string")).alias("min_time"),
-        (F.date_format(F.max(c), "yyyy-MM-dd HH:mm:ss") if is_time else null.cast("string")).alias("max_time"),
-        (F.avg(F.length(c)) if affinity == "TEXT" else null.cast("double")).alias("avg_length"),
-    )
-
-
-def column_statistics(df: DataFrame, table: str) -> DataFrame:
-    """One row per column: counts, nulls, range, mean and mean text length, from a single aggregation.
+    x = c.cast("double") if number else F.lit(None).cast("double")
+    moment = lambda f: F.date_format(f(c), "yyyy-MM-dd HH:mm:ss") if is_time else F.lit(None).cast("string")
+    all_of = {
+        "null_count": lambda: F.sum(c.isNull().cast("long")),
+        "min_value": lambda: F.min(x),
+        "max_value": lambda: F.max(x),
+        "avg_value": lambda: F.avg(x),
+        "min_time": lambda: moment(F.min),
+        "max_time": lambda: moment(F.max),
+        "avg_length": lambda: F.avg(F.length(c)) if affinity == "TEXT" else F.lit(None).cast("double"),
+    }
+    return F.struct(F.lit(name).alias("column"), F.lit(affinity).alias("affinity"), F.count(F.lit(1)).alias("total_rows"), *[all_of[m]().alias(m) for m in wanted])
+
+
+def column_statistics(df: DataFrame, table: str, measures: Sequence[str] = MEASURES) -> DataFrame:
+    """One row per column: rows and the named measures, from a single aggregation that computes no others.
 
     Times have a range but no mean. An empty table has null rate 0.
     """
-    measured = df.agg(F.array(*[_measures(f.name, f.dataType) for f in df.schema.fields]).alias("all"))
+    measured = df.agg(F.array(*[_measures(f.name, f.dataType, measures) for f in df.schema.fields]).alias("all"))
     rows = measured.select(F.posexplode("all").alias("ordinal", "m")).select(F.lit(table).alias("table"), "ordinal", "m.*")
-    nulls = F.coalesce("null_count", F.lit(0))
-    return rows.withColumn("null_count", nulls).withColumn("null_rate", F.coalesce(F.try_divide(F.col("null_count"), F.col("total_rows")), F.lit(0.0)))
+    if "null_count" not in measures:
+        return rows
+    rows = rows.withColumn("null_count", F.coalesce("null_count", F.lit(0)))
+    return rows.withColumn("null_rate", F.coalesce(F.try_divide(F.col("null_count"), F.col("total_rows")), F.lit(0.0)))
 
 
 def value_counts(df: DataFrame, table: str, columns: list[str] | None = None) -> DataFrame:

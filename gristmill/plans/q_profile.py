@@ -20,13 +20,13 @@ _ALL = sorted(_TEXT + _NUMBER + _TIME)
 _DECLARED = ("INTEGER", "bigint", "POINT", "CHARINT", "VARCHAR(20)", "text", "CLOB", "", "  ", "BLOB", "none", "REAL", "float", "DOUBLE PRECISION", "DATE", "DATETIME", "BOOLEAN", "DECIMAL(10,2)", "STRING")
 
 
-def _stats(spark: SparkSession, sf_dir: str, columns: list[tuple[str, str]]) -> DataFrame:
+def _stats(spark: SparkSession, sf_dir: str, columns: list[tuple[str, str]], *measures: str) -> DataFrame:
     """Statistics of the named columns: one aggregation of each table, which reads those columns only."""
     names: dict[str, list[str]] = {}
     for t, c in columns:
         names.setdefault(t, []).append(c)
     tables = load_catalog(spark, sf_dir, names).tables
-    return reduce(DataFrame.unionByName, [profile.column_statistics(tables[t].select(*cs), t) for t, cs in names.items()])
+    return reduce(DataFrame.unionByName, [profile.column_statistics(tables[t].select(*cs), t, measures) for t, cs in names.items()])
 
 
 def _counts(spark: SparkSession, sf_dir: str, columns: list[tuple[str, str]]) -> DataFrame:
@@ -38,7 +38,7 @@ def _counts(spark: SparkSession, sf_dir: str, columns: list[tuple[str, str]]) ->
 
 
 def profile_nulls(spark, sf_dir):
-    return _stats(spark, sf_dir, _ALL).select("table", "column", "total_rows", "null_count", "null_rate")
+    return _stats(spark, sf_dir, _ALL, "null_count").select("table", "column", "total_rows", "null_count", "null_rate")
 
 
 def profile_distinct(spark, sf_dir):
@@ -55,15 +55,15 @@ def profile_topk_values(spark, sf_dir):
 
 
 def profile_numeric_stats(spark, sf_dir):
-    return _stats(spark, sf_dir, _NUMBER).select("table", "column", "min_value", "max_value", F.round("avg_value", 4).alias("avg_value"))
+    return _stats(spark, sf_dir, _NUMBER, "min_value", "max_value", "avg_value").select("table", "column", "min_value", "max_value", F.round("avg_value", 4).alias("avg_value"))
 
 
 def profile_time_range(spark, sf_dir):
-    return _stats(spark, sf_dir, _TIME).select("table", "column", "min_time", "max_time")
+    return _stats(spark, sf_dir, _TIME, "min_time", "max_time").select("table", "column", "min_time", "max_time")
 
 
 def profile_text_length(spark, sf_dir):
-    return _stats(spark, sf_dir, _TEXT).select("table", "column", F.round("avg_length", 6).alias("avg_length"))
+    return _stats(spark, sf_dir, _TEXT, "avg_length").select("table", "column", F.round("avg_length", 6).alias("avg_length"))
 
 
 def profile_type_affinity(spark, sf_dir):
