@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.affinity import spark_affinity
@@ -44,46 +44,53 @@ def with_bands(df: DataFrame, grams: str = "grams", bands: int = BANDS, rows: in
     return signed.withColumn("band", F.explode(keys)).drop("_sig")
 
 
-def lsh_candidates(queries: DataFrame, values: DataFrame) -> DataFrame:
-    """Pairs (query_id, keyword) x (table, column, value) that share a band; ``queries`` has ``query_id, keyword``."""
-    left = with_bands(queries.withColumn("grams", shingles(F.lower("keyword"))).withColumnRenamed("grams", "q_grams"), "q_grams")
-    right = with_bands(values)
-    return left.join(right, "band").drop("band").dropDuplicates(["query_id", "keyword", "table", "column", "value"])
+VALUE = ["table", "column", "value"]
 
 
-def gram_candidates(queries: DataFrame, values: DataFrame) -> DataFrame:
-    """All pairs that share a 3-gram, by joining on the grams; what shares none has similarity 0."""
-    left = queries.withColumn("q_grams", shingles(F.lower("keyword")))
-    keys = left.select("query_id", "keyword", "q_grams", F.explode("q_grams").alias("gram"))
-    right = values.select("table", "column", "value", "grams", F.explode("grams").alias("gram"))
-    return keys.join(right, "gram").drop("gram").dropDuplicates(["query_id", "keyword", "table", "column", "value"])
+def _keywords(queries: DataFrame) -> DataFrame:
+    """Each keyword once, with its 3-grams: equal keywords of different queries are searched together."""
+    return queries.select("keyword").distinct().withColumn("q_grams", shingles(F.lower("keyword")))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    shared = F.size(F.array_intersect(a, b))
-    return shared / (F.size(a) + F.size(b) - shared)
+def lsh_candidates(queries: DataFrame, values: DataFrame) -> DataFrame:
+    """``keyword, table, column, value, shared, n_q, n_v`` of pairs that share a band; ``queries`` has ``query_id, keyword``."""
+    left, right = with_bands(_keywords(queries), "q_grams"), with_bands(values)
+    pairs = left.join(right, "band").select("keyword", *VALUE, "q_grams", "grams").dropDuplicates(["keyword", *VALUE])
+    return pairs.select("keyword", *VALUE, F.size(F.array_intersect("q_grams", "grams")).cast("long").alias("shared"), F.size("q_grams").alias("n_q"), F.size("grams").alias("n_v"))
 
 
-def rank_matches(pairs: DataFrame, top_k: int = TOP_K) -> DataFrame:
-    """The best ``top_k`` values of each query: those equal but for case first, then by Jaccard similarity, then by name.
+def gram_candidates(queries: DataFrame, values: DataFrame) -> DataFrame:
+    """All pairs that share a 3-gram, with how many they share; what shares none has similarity 0.
 
-    Columns: ``query_id, keyword, table, column, matched_value, similarity_score, exact_match, rank``.
+    Pairs meet by an equi-join on the gram, and are counted where they meet before they are exchanged.
     """
-    scored = pairs.select("query_id", "keyword", "table", "column", F.col("value").alias("matched_value"), jaccard(F.col("q_grams"), F.col("grams")).alias("similarity_score"), (F.lower("keyword") == F.lower("value")).alias("exact_match"))
-    order = Window.partitionBy("query_id", "keyword").orderBy(F.desc("exact_match"), F.desc("similarity_score"), "table", "column", "matched_value")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    left = _keywords(queries).select("keyword", F.size("q_grams").alias("n_q"), F.explode("q_grams").alias("gram"))
+    right = values.select(*VALUE, F.size("grams").alias("n_v"), F.explode("grams").alias("gram"))
+    return left.join(right, "gram").groupBy("keyword", *VALUE, "n_q", "n_v").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def _jaccard():
+    return F.col("shared") / (F.col("n_q") + F.col("n_v") - F.col("shared"))
 
 
 def search_values(queries: DataFrame, values: DataFrame, top_k: int = TOP_K, exact: bool = True) -> DataFrame:
-    """Fuzzy matches of each keyword; ``exact=False`` takes candidates from bands, which misses some of low similarity."""
-    return rank_matches((gram_candidates if exact else lsh_candidates)(queries, values), top_k)
+    """The best ``top_k`` values of each query: those equal but for case first, then by Jaccard similarity, then by name.
+
+    Columns: ``query_id, keyword, table, column, matched_value, similarity_score, exact_match, rank``. ``exact=False`` takes
+    candidates from bands, which misses some of low similarity.
+    """
+    pairs = (gram_candidates if exact else lsh_candidates)(queries, values)
+    scored = pairs.select("keyword", "table", "column", F.col("value").alias("matched_value"), _jaccard().alias("similarity_score"), (F.lower("keyword") == F.lower("value")).alias("exact_match"))
+    order = Window.partitionBy("keyword").orderBy(F.desc("exact_match"), F.desc("similarity_score"), "table", "column", "matched_value")
+    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    return queries.select("query_id", "keyword").distinct().join(best, "keyword").select("query_id", "keyword", "table", "column", "matched_value", "similarity_score", "exact_match", "rank")
 
 
 def band_recall(queries: DataFrame, values: DataFrame, least: float = 0.5) -> DataFrame:
     """``n_pairs, n_found, recall``: of pairs of similarity ``least`` or more, how many the bands propose."""
-    near = gram_candidates(queries, values).where(jaccard(F.col("q_grams"), F.col("grams")) >= least).select("query_id", "keyword", "table", "column", "value")
-    found = lsh_candidates(queries, values).select("query_id", "keyword", "table", "column", "value", F.lit(1).alias("hit"))
-    sums = near.join(found, ["query_id", "keyword", "table", "column", "value"], "left").agg(F.count(F.lit(1)).alias("n_pairs"), F.count("hit").alias("n_found"))
+    near = gram_candidates(queries, values).where(_jaccard() >= least).select("keyword", *VALUE)
+    found = lsh_candidates(queries, values).select("keyword", *VALUE, F.lit(1).alias("hit"))
+    sums = near.join(found, ["keyword", *VALUE], "left").agg(F.count(F.lit(1)).alias("n_pairs"), F.count("hit").alias("n_found"))
     return sums.select("*", F.coalesce(F.try_divide(F.col("n_found"), F.col("n_pairs")), F.lit(1.0)).alias("recall"))
 
 

@@ -40,7 +40,7 @@ def exact_match_first(spark, sf_dir):
 
 
 def lsh_candidate_pairs(spark, sf_dir):
-    return lsh_candidates(fixtures.keyword_queries(spark, sf_dir), _values(spark, sf_dir)).groupBy("query_id", "keyword").agg(F.count(F.lit(1)).alias("n_candidates"))
+    return lsh_candidates(fixtures.keyword_queries(spark, sf_dir), _values(spark, sf_dir)).groupBy("keyword").agg(F.count(F.lit(1)).alias("n_candidates"))
 
 
 def lsh_recall(spark, sf_dir):
