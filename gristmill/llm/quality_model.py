@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from gristmill.llm._shared import map_batches, settle
 from gristmill.llm._tokens import PIECE, Texts, texts_of, word_hashes, words
 
+#: Texts of fewer words say nothing by their capitals and stops.
+FEW = 8
 ABSTAIN, GOOD, BAD = 0, 1, 2
 BUCKETS = 1 << 18
 #: Texts fitted at most, half of them from each side of the posterior.
@@ -76,12 +78,12 @@ def measure(texts: Texts) -> np.ndarray:
         n,
         _per_text(texts, _SYMBOL[texts.data]) / some,
         odd / some,
-        _per_text(texts, _UPPER[texts.data]) / np.maximum(letters, 1),
+        np.where(n >= FEW, _per_text(texts, _UPPER[texts.data]) / np.maximum(letters, 1), 0.1),
         _per_text(texts, _MARK[texts.data]) / some,
         np.where(n > 0, distinct / some, 0),
         run,
         letters / some,
-        _per_text(texts, _STOP[texts.data]) / some,
+        np.where(n >= FEW, _per_text(texts, _STOP[texts.data]) / some, 0.1),
     ]
     return np.stack(columns, axis=1)
 

@@ -15,7 +15,7 @@ RULES = (
     ("too_few_words", "n_words < 10"),
     ("repeated_windows", "100 * n_repeat_words > 20 * n_words"),
     ("symbols", "10 * n_symbols > n_words"),
-    ("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    ("repeated_lines", "n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines"),
     ("short_words", "n_words > 0 AND word_chars < 2 * n_words"),
     ("long_words", "word_chars > 20 * n_words"),
     ("no_letters", "n_words > 0 AND n_letters * 2 < word_chars"),
