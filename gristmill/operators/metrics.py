@@ -88,6 +88,14 @@ def schema_recall(required: DataFrame, linked: DataFrame) -> DataFrame:
     return sums.select("*", F.round(F.coalesce(F.try_divide("n_found", "n_required"), F.lit(1.0)), 3).alias("recall"), (F.col("n_found") == F.col("n_required")).alias("complete"))
 
 
+def table_recall(required: DataFrame, linked: DataFrame) -> DataFrame:
+    """``question_id, n_required, n_found, recall, complete`` for whole tables, whatever the case of their names."""
+    need = required.select("question_id", F.lower("table").alias("table")).distinct()
+    have = linked.select("question_id", F.lower("table").alias("table"), F.lit(1).alias("hit")).distinct()
+    sums = need.join(have, ["question_id", "table"], "left").groupBy("question_id").agg(F.count("table").alias("n_required"), F.count("hit").alias("n_found"))
+    return sums.select("*", F.round(F.coalesce(F.try_divide("n_found", "n_required"), F.lit(1.0)), 3).alias("recall"), (F.col("n_found") == F.col("n_required")).alias("complete"))
+
+
 def required_tables(questions: DataFrame) -> DataFrame:
     """``question_id, table`` of every table that a question's SQL names."""
     return questions.select("question_id", F.explode(sql_tables(F.col("SQL"))).alias("table"))

@@ -90,6 +90,16 @@ class Fixed:
     trace: list[dict]
 
 
+def fix_prompt(question: str, sql: str, result: ExecutionResult, outcomes: list[verify.Outcome], schema: str = "", sample: int = 5) -> str:
+    """What a fixer is told: the question, the query, what went wrong with it, and the first rows that it gave."""
+    failed = [f"- {o.test_type}: {o.message or o.status}" for o in outcomes if o.status == "fail"]
+    wrong = "The query returned no rows." if result.is_empty else f"It failed: {result.error}" if not result.success else "It ran."
+    rows = [" | ".join("NULL" if x is None else str(x) for x in r) for r in result.rows[:sample]]
+    repeated = len(result.rows) - len(set(map(repr, result.rows)))
+    parts = [schema, f"Question: {question}", f"Query:\n{sql}", wrong, "Checks that failed:\n" + "\n".join(failed) if failed else "", "First rows:\n" + "\n".join(rows) if rows else "", f"{repeated} rows repeat others." if repeated else "", "Write one query that answers the question."]
+    return "\n\n".join(p for p in parts if p)
+
+
 def fix_one(catalog: Catalog, question_id: int, pos: int, generator_id: str, sql: str, specs: list[verify.Spec], fixer: Callable[[str, ExecutionResult, list[verify.Outcome]], str | None] | None = None, rounds: int = 3, timeout: float = 30.0) -> Fixed:
     """Execute, verify and mend one query: ``rounds`` fixes and a last look. No fixer, an error or an empty answer of it ends the rounds."""
     spark, trace, n_fixes = catalog.spark, [], 0

@@ -218,6 +218,13 @@ def test_fix_rounds(spark, sf_dir):
     ev.get_tracker().reset()
 
 
+def test_fix_prompt_says_what_went_wrong():
+    r = flows.ExecutionResult(True, [(1, None), (1, None), (2, "x")], columns=["a", "b"])
+    text = flows.fix_prompt("how many?", "SELECT a, b FROM t", r, [verify.Outcome("duplicate", "fail", "1 repeated rows"), verify.Outcome("grain", "pass")], "schema")
+    assert text.startswith("schema\n\nQuestion: how many?") and "- duplicate: 1 repeated rows" in text and "1 | NULL" in text and "1 rows repeat others." in text and "grain" not in text
+    assert "It failed: oops" in flows.fix_prompt("q", "s", flows.ExecutionResult(False, error="oops"), [])
+
+
 def test_fallback_events(spark, tmp_path):
     log = tmp_path / "log.jsonl"
     tracker = ev.FallbackTracker(str(log))
