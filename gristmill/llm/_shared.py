@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,7 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
         if context.getCheckpointDir() is None:
             if not context.master.startswith("local") or context.master.startswith("local-cluster"):
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="gristmill-"))
+            folder = tempfile.mkdtemp(prefix="gristmill-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            context.setCheckpointDir(folder)
         found = context.getCheckpointDir()
     return found.rstrip("/")
 
@@ -34,7 +37,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/gristmill-{name}-{uuid.uuid4().hex}"
     if not _written:
-        atexit.register(_clean)
+        atexit.register(drop_scratch)
     _written.append((spark, path))
     return path
 
@@ -46,8 +49,10 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def _clean() -> None:
-    for spark, path in _written:
+def drop_scratch() -> None:
+    """Remove all tables written so far; for a long session, once the results that read them are saved. Done at the driver's end too."""
+    while _written:
+        spark, path = _written.pop()
         if spark.sparkContext._jsc is not None:
             try:
                 drop_path(spark, path)
