@@ -32,7 +32,7 @@ _PAIRS: list[tuple[str, str, str | None]] = [
     ("r_concat", "SELECT n_name || '-' || n_regionkey AS both FROM nation", "SELECT n_name || '-' || n_regionkey AS both FROM nation"),
     ("r_between", "SELECT COUNT(*) AS n FROM lineitem WHERE l_quantity BETWEEN 10 AND 20", None),
     ("r_round", "SELECT ROUND(AVG(l_extendedprice), 2) AS m FROM lineitem", None),
-    ("r_scalar_min_max", "SELECT n_nationkey, MIN(n_nationkey, n_regionkey, 3) AS lo, MAX(n_nationkey, n_regionkey) AS hi, LENGTH(n_name) AS len FROM nation", "SELECT n_nationkey, least(n_nationkey, n_regionkey, 3) AS lo, greatest(n_nationkey, n_regionkey) AS hi, length(n_name) AS len FROM nation"),
+    ("r_scalar_min_max", "SELECT n_nationkey, MIN(n_nationkey, n_regionkey, 3) AS lo, MAX(n_nationkey, n_regionkey) AS hi, LENGTH(n_name) AS len FROM nation", "SELECT n_nationkey, least(n_nationkey, n_regionkey, 3) AS lo, greatest(n_nationkey, n_regionkey) AS hi, length(n_name)::INTEGER AS len FROM nation"),
     ("r_strftime_year", "SELECT STRFTIME('%Y', o_orderdate) AS y, STRFTIME('%m-%d', o_orderdate) AS md, COUNT(*) AS n FROM orders GROUP BY STRFTIME('%Y', o_orderdate), STRFTIME('%m-%d', o_orderdate)", "SELECT strftime(o_orderdate, '%Y') AS y, strftime(o_orderdate, '%m-%d') AS md, count(*) AS n FROM orders GROUP BY 1, 2"),
     ("r_julianday_age", "SELECT o_orderkey, ROUND(JULIANDAY('2002-01-01') - JULIANDAY(o_orderdate), 3) AS days FROM orders", "SELECT o_orderkey, round((epoch(TIMESTAMP '2002-01-01') - epoch(o_orderdate)) / 86400, 3) AS days FROM orders"),
     ("r_group_concat", "SELECT GROUP_CONCAT(DISTINCT r_name) AS n FROM (SELECT 'a' AS r_name FROM region) t", "SELECT 'a' AS n"),
@@ -40,7 +40,7 @@ _PAIRS: list[tuple[str, str, str | None]] = [
     ("r_divide_by_zero", "SELECT n_nationkey, n_nationkey / n_regionkey AS q FROM nation", "SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN NULL ELSE (n_nationkey // n_regionkey)::DOUBLE END AS q FROM nation"),
     ("r_setops", "SELECT n_regionkey AS k FROM nation UNION SELECT n_nationkey FROM nation EXCEPT SELECT 3 INTERSECT SELECT 3", None),
     ("r_union_all", "SELECT COUNT(*) AS n FROM (SELECT c_custkey AS k FROM customer UNION ALL SELECT s_suppkey FROM supplier) t", None),
-    ("r_window_rank", "SELECT o_orderkey, RANK() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS r, LAG(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders", None),
+    ("r_window_rank", "SELECT o_orderkey, RANK() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS r, LAG(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders", "SELECT o_orderkey, (rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC))::INTEGER AS r, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders"),
     ("r_window_frame", "SELECT o_orderkey, SUM(o_custkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS s, NTILE(4) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS q FROM orders", "SELECT o_orderkey, (sum(o_custkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))::BIGINT AS s, (ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_orderkey))::INTEGER AS q FROM orders"),
     ("r_cube", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)", None),
     ("r_rollup", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)", None),
