@@ -21,7 +21,7 @@ RULES = (
     ("no_letters", "n_words > 0 AND n_letters * 2 < word_chars"),
     ("shouting", "10 * n_upper > 6 * n_letters AND n_letters > 0"),
     ("exclamations", "5 * n_exclamations > n_words"),
-    ("one_word", "n_words >= 10 AND n_distinct_words * 10 < n_words * 1"),
+    ("one_word", "n_words >= 10 AND 10 * n_distinct_words < n_words"),
 )
 BIT = {name: 1 << i for i, (name, _) in enumerate(RULES)}
 BASE = BIT["too_few_words"] | BIT["repeated_windows"]
