@@ -113,7 +113,7 @@ def train(samples: list[tuple[str, str]], epochs: int = 2, rate: float = 0.5, se
     """Fit on (language, whole text) pairs; a fifth of the texts is kept back to calibrate the temperature and the rejection.
 
     The temperature is the one of least log loss there. A prediction is rejected below the lowest score at which
-    accepted predictions err at most once in 50, but never more than one in 1000 correct ones is given up for it.
+    accepted predictions err at most once in 200, but never more than one in 1000 correct ones is given up for it.
     """
     langs = sorted({lang for lang, _ in samples})
     if not langs:
@@ -157,7 +157,7 @@ def train(samples: list[tuple[str, str]], epochs: int = 2, rate: float = 0.5, se
     return model
 
 
-def _threshold(score: np.ndarray, right: np.ndarray, error: float = 0.02, given_up: float = 0.001) -> float:
+def _threshold(score: np.ndarray, right: np.ndarray, error: float = 0.005, given_up: float = 0.001) -> float:
     order = np.argsort(score, kind="stable")
     s, ok = score[order], right[order]
     kept = np.arange(len(s), 0, -1)
