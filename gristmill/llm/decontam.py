@@ -1,8 +1,9 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, then exact weighted-shingle similarity."""
+"""Benchmark decontamination: exact weighted-shingle similarity of every item-sized window, by sliding counts."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +14,13 @@ from gristmill.llm._shared import map_batches
 from gristmill.llm._tokens import shingle_hashes, squeeze, texts_of, whole_shingles, word_hashes, words
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Fingerprints of a window and an item may differ in this many bits; eight blocks of eight bits then differ in at most two bits somewhere.
+#: ``near_items`` finds fingerprints that differ in this many bits; eight blocks of eight bits then differ in at most two bits somewhere.
 RADIUS, BLOCKS = 22, 8
 #: Items compared in one pass over the documents, and bytes of their text.
 ITEMS_PER_PASS, BYTES_PER_PASS = 20_000, 8 << 20
 _FILTER_BITS = 22
+#: Places of items' shingles in a document that are counted at once.
+_PLACES = 1 << 20
 _NEAR = [[x for x in range(256) if (x ^ y).bit_count() <= RADIUS // BLOCKS] for y in range(256)]
 
 
@@ -28,7 +31,7 @@ def bits_of(hashes: np.ndarray) -> np.ndarray:
 
 
 class ItemIndex:
-    """The items of one pass: fingerprints in blocks, shingles with their weights, and the shingles of all items."""
+    """The items of one pass: shingles with their weights, the shingles of all items, and fingerprints in blocks."""
 
     def __init__(self, item_ids: list[int], texts: list[str | None], k: int = SHINGLE):
         self.k = k
@@ -52,15 +55,21 @@ class ItemIndex:
         long = [i for i in range(len(self.ids)) if self.size[i] >= k]
         item = np.concatenate([np.full(len(self.shingles[i][0]), i) for i in long]) if long else np.zeros(0, int)
         seed = np.concatenate([self.shingles[i][0] for i in long]) if long else np.zeros(0, np.uint64)
+        weight = np.concatenate([self.shingles[i][1] for i in long]) if long else np.zeros(0, int)
         order = np.argsort(seed, kind="stable")
-        self.seed, self.seed_item = seed[order], item[order]
+        self.seed, self.seed_item, self.seed_weight = seed[order], item[order], weight[order]
+        self.weight = np.array([w.sum() for _, w in self.shingles], dtype=np.int64)
         self.filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
         self.filter[self.seed >> np.uint64(64 - _FILTER_BITS)] = True
-        self.blocks: list[dict[int, list[int]]] = [{} for _ in range(BLOCKS)]
-        for i, p in enumerate(self.prints.astype("<u8").view(np.uint8).reshape(-1, 8) if len(prints) else []):
+
+    @cached_property
+    def blocks(self) -> list[dict[int, list[int]]]:
+        out: list[dict[int, list[int]]] = [{} for _ in range(BLOCKS)]
+        for i, p in enumerate(self.prints.astype("<u8").view(np.uint8).reshape(-1, 8) if len(self.prints) else []):
             for b in range(BLOCKS):
                 for near in _NEAR[p[b]]:
-                    self.blocks[b].setdefault(near, []).append(i)
+                    out[b].setdefault(near, []).append(i)
+        return out
 
     def seeds(self, shingle: np.ndarray) -> np.ndarray:
         """Positions whose shingle is one of any item: each window that is similar to an item holds one."""
@@ -71,7 +80,10 @@ class ItemIndex:
         return at[self.seed[np.minimum(found, len(self.seed) - 1)] == shingle[at]]
 
     def near_items(self, prints: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
-        """Items of one size with the windows whose fingerprints are within the radius; the blocks pick which to measure."""
+        """Items of one size with the windows whose fingerprints are within the radius; the blocks pick which to measure.
+
+        What is not near may still be similar, so ``_document`` does not ask this.
+        """
         of_size = np.flatnonzero(self.size == size)
         parts = prints.astype("<u8").view(np.uint8).reshape(-1, 8)
         proposed: dict[int, list[np.ndarray]] = {}
@@ -89,41 +101,50 @@ class ItemIndex:
                 if len(at):
                     yield int(i), at
 
-    def similarity(self, item: int, shingle: np.ndarray) -> float:
-        """The share of the item's shingles, each weighted by how often the item holds it, that the window holds as well."""
-        unique, weight = self.shingles[item]
-        own, count = np.unique(shingle, return_counts=True)
-        at = np.searchsorted(own, unique)
-        at = np.minimum(at, len(own) - 1)
-        there = np.where(own[at] == unique, np.minimum(count[at], weight), 0)
-        return float(there.sum() / weight.sum())
-
 
 def _document(index: ItemIndex, hashes: np.ndarray, shingle: np.ndarray, seeds: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
-    """(item, similarity, first word, words) of the best window of one document for each item that has one."""
-    best: dict[int, tuple[float, int]] = {}
-    touched = np.unique(index.seed_item[_ranges(*_span(index.seed, np.unique(shingle[seeds])))]) if len(seeds) else np.zeros(0, int)
-    for size in np.unique(index.size[touched]):
-        n = len(hashes) - size + 1  # windows of the item's size
-        if n <= 0:
-            # A document shorter than the item is one window, which may hold enough of it.
-            starts, length = np.zeros(1, np.int64), len(hashes)
-        else:
-            mark = np.zeros(n + 1, dtype=np.int64)  # windows that hold a seed
-            np.add.at(mark, np.clip(seeds - (size - index.k), 0, n), 1)
-            np.add.at(mark, np.clip(seeds + 1, 0, n), -1)
-            starts, length = np.flatnonzero(np.cumsum(mark)[:n] > 0), int(size)
-        for a in range(0, len(starts), 4096):
-            some = starts[a : a + 4096]
-            prints = _window_prints(shingle, some, length - index.k + 1)
-            for item, at in index.near_items(prints, int(size)):
-                for w in some[at]:
-                    similar = index.similarity(item, shingle[w : w + length - index.k + 1])
-                    if similar >= least and similar > best.get(item, (0.0, 0))[0]:
-                        best[item] = (similar, int(w))
-                        if similar == 1.0:
-                            break
-    return [(item, similar, w, int(index.size[item])) for item, (similar, w) in sorted(best.items())]
+    """(item, similarity, first word, words) of the best window of one document for each item that has one.
+
+    Items of which the whole document holds too few shingles are left out, which bounds all their windows; of the others
+    every window is measured. A window counts a shingle as often as the item holds it at most: a place counts in those
+    windows that hold it, but not also the place so many before it.
+    """
+    unique, count = np.unique(shingle[seeds], return_counts=True)
+    first, last = _span(index.seed, unique)
+    at = _ranges(first, last)
+    held = np.bincount(index.seed_item[at], np.minimum(np.repeat(count, last - first), index.seed_weight[at]), len(index.ids))
+    some = np.zeros(len(index.ids), dtype=bool)
+    some[index.seed_item[at]] = True
+    some &= held / index.weight >= least
+    entries = at[some[index.seed_item[at]]]
+    if not len(entries):
+        return []
+    entries = entries[np.argsort(index.seed_item[entries], kind="stable")]
+    order = np.argsort(shingle[seeds], kind="stable")
+    places, ordered = seeds[order], shingle[seeds][order]  # equal shingles in the order of their places
+    out = []
+    for entry in np.split(entries, np.flatnonzero(np.diff(index.seed_item[entries])) + 1):
+        item = int(index.seed_item[entry[0]])
+        size = int(index.size[item])
+        n = max(len(hashes) - size + 1, 1)  # a document shorter than the item is one window, which may hold enough of it
+        length = min(size, len(hashes)) - index.k + 1
+        change = np.zeros(n + 1, dtype=np.int64)
+        begin, end = _span(ordered, index.seed[entry])
+        cut = np.concatenate(([0], np.flatnonzero(np.diff(np.cumsum(end - begin) // _PLACES)) + 1, [len(entry)]))
+        for a, z in zip(cut[:-1], cut[1:], strict=True):
+            j = _ranges(begin[a:z], end[a:z])
+            before = j - np.repeat(index.seed_weight[entry[a:z]], end[a:z] - begin[a:z])
+            lower = np.where(before >= np.repeat(begin[a:z], end[a:z] - begin[a:z]), places[np.maximum(before, 0)], -1)
+            low, high = np.maximum(np.maximum(places[j] - length, lower) + 1, 0), np.minimum(places[j], n - 1) + 1
+            real = low < high
+            np.add.at(change, low[real], 1)
+            np.add.at(change, high[real], -1)
+        shared = np.cumsum(change[:n])
+        w = int(np.argmax(shared))
+        similar = float(shared[w] / index.weight[item])
+        if similar >= least:
+            out.append((item, similar, w, size))
+    return out
 
 
 def _span(ordered: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,26 +156,6 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
 
 
-def _window_prints(shingle: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Fingerprints of windows of ``length`` shingles from running sums of the bits over the stretch they cover."""
-    low, high = int(starts.min()), int(starts.max()) + length
-    out = np.empty(len(starts), dtype=np.uint64)
-    if high - low > 4 * 4096 + length:  # scattered windows: one run of neighbours at a time
-        cut = np.flatnonzero(np.diff(starts) > length) + 1
-        for part in np.split(np.arange(len(starts)), cut):
-            out[part] = _run_prints(shingle, starts[part], length)
-        return out
-    return _run_prints(shingle, starts, length)
-
-
-def _run_prints(shingle: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    low, high = int(starts.min()), int(starts.max()) + length
-    total = np.zeros((high - low + 1, 64), dtype=np.int32)
-    np.cumsum(bits_of(shingle[low:high]), axis=0, out=total[1:])
-    sums = total[starts - low + length] - total[starts - low]
-    return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8").reshape(-1)
-
-
 def _short_matches(index: ItemIndex, hashes: np.ndarray) -> list[tuple[int, float, int, int]]:
     """Items of fewer words than a shingle: only the same words match."""
     out = []

@@ -93,3 +93,21 @@ def test_equals_its_sql(spark, tmp_path):
     rows = sorted((*r[:2], round(r[2], 9), *r[3:]) for r in map(tuple, got.collect()))
     assert rows == sorted((*r[:2], round(r[2], 9), *r[3:]) for r in db.sql(oracles.OP8).select(*got.columns).fetchall())
     assert len(rows) > 20
+
+
+@pytest.mark.parametrize("size", [50, 100, 200])
+def test_filler_in_a_window_hides_no_item(spark, size):
+    rng = random.Random(size)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    items, docs = [], []
+    for n in range(12):
+        w = [word() for _ in range(size)]
+        items.append(" ".join(w))
+        cut = size // 6  # the item's end, begun by a run of one word, or its middle masked by one
+        docs.append(" ".join(["[MASK]"] * cut + w[cut:] if n % 2 else w[: size // 2] + ["[MASK]"] * cut + w[size // 2 + cut :]))
+    docs.append(" ".join(w[:3] * size))
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.contaminated(d, b, similarity=0.6).collect()}
+    want = {(i, j): s for i, t in enumerate(docs) for j, x in enumerate(items) if (s := brute(t, x)) >= 0.6}
+    assert len(want) == 12 and got == pytest.approx(want)
