@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch between the JVM and Python.
 BATCH_BYTES = 4 << 20
@@ -60,15 +61,44 @@ def drop_scratch() -> None:
                 return
 
 
-def settle(df: DataFrame, name: str = "table") -> DataFrame:
+def settle(df: DataFrame, name: str = "table", spent: tuple[DataFrame, ...] = ()) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    The plan behind it is cut, so what follows neither repeats the work nor depends on any executor's disk.
+    The plan behind it is cut, so what follows neither repeats the work nor depends on any executor's disk. ``spent`` are
+    settled tables that nothing reads any more; they are removed. Collecting garbage on the driver lets Spark remove the
+    shuffle files of the step just ended, so the disk holds those of one step at a time.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for old in spent:
+        release(old)
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def release(settled: DataFrame) -> None:
+    """Remove a settled table before the driver ends."""
+    path = settled._settled_at
+    _written[:] = [w for w in _written if w[1] != path]
+    drop_path(settled.sparkSession, path)
+
+
+#: Distinct values of a sieve, and so rows of its broadcast, at most.
+SIEVE = 1 << 19
+
+
+def sieved(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """``rows`` without most of those whose key is not ``wanted``; the exact join is still to follow.
+
+    Keys are folded to ``SIEVE`` values, so the broadcast side has that many rows at most, whatever is wanted. Where
+    nearly everything is, nothing is left out and nothing is lost.
+    """
+    fold = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE))
+    marks = wanted.select(fold(F.col(wanted_key)).alias("_mark")).distinct()
+    return rows.join(F.broadcast(marks), fold(F.col(key)) == F.col("_mark"), "left_semi")
 
 
 def map_batches(df: DataFrame, run, schema) -> DataFrame:
