@@ -1,27 +1,28 @@
-"""Benchmark decontamination: exact weighted-shingle similarity of every item-sized window, by sliding counts."""
+"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted-shingle similarity."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cached_property
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm._shared import map_batches
+from gristmill.llm._shared import map_batches, settle
 from gristmill.llm._tokens import shingle_hashes, squeeze, texts_of, whole_shingles, word_hashes, words
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: ``near_items`` finds fingerprints that differ in this many bits; eight blocks of eight bits then differ in at most two bits somewhere.
-RADIUS, BLOCKS = 22, 8
+#: Fingerprints are near if they differ in so many bits at most; of four blocks of sixteen bits one then differs in three at most.
+RADIUS, BLOCKS = 15, 4
 #: Items compared in one pass over the documents, and bytes of their text.
 ITEMS_PER_PASS, BYTES_PER_PASS = 20_000, 8 << 20
 _FILTER_BITS = 22
 #: Places of items' shingles in a document that are counted at once.
 _PLACES = 1 << 20
-_NEAR = [[x for x in range(256) if (x ^ y).bit_count() <= RADIUS // BLOCKS] for y in range(256)]
+#: What a block may differ by: 697 values of 65,536.
+_NEAR = np.array([sum(1 << b for b in bits) for n in range(RADIUS // BLOCKS + 1) for bits in combinations(range(64 // BLOCKS), n)], dtype=np.uint16)
 
 
 def bits_of(hashes: np.ndarray) -> np.ndarray:
@@ -62,15 +63,6 @@ class ItemIndex:
         self.filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
         self.filter[self.seed >> np.uint64(64 - _FILTER_BITS)] = True
 
-    @cached_property
-    def blocks(self) -> list[dict[int, list[int]]]:
-        out: list[dict[int, list[int]]] = [{} for _ in range(BLOCKS)]
-        for i, p in enumerate(self.prints.astype("<u8").view(np.uint8).reshape(-1, 8) if len(self.prints) else []):
-            for b in range(BLOCKS):
-                for near in _NEAR[p[b]]:
-                    out[b].setdefault(near, []).append(i)
-        return out
-
     def seeds(self, shingle: np.ndarray) -> np.ndarray:
         """Positions whose shingle is one of any item: each window that is similar to an item holds one."""
         at = np.flatnonzero(self.filter[shingle >> np.uint64(64 - _FILTER_BITS)])
@@ -79,35 +71,41 @@ class ItemIndex:
         found = np.searchsorted(self.seed, shingle[at])
         return at[self.seed[np.minimum(found, len(self.seed) - 1)] == shingle[at]]
 
-    def near_items(self, prints: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
-        """Items of one size with the windows whose fingerprints are within the radius; the blocks pick which to measure.
+    def near_items(self, prints: np.ndarray, size: int, items: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """Items of one size (of ``items``, or all) with the windows whose fingerprints are within the radius.
 
-        What is not near may still be similar, so ``_document`` does not ask this.
+        The windows are indexed by each block of their fingerprints; an item asks for the values near its own block, which
+        misses no window within the radius, and what that proposes is measured.
         """
-        of_size = np.flatnonzero(self.size == size)
-        parts = prints.astype("<u8").view(np.uint8).reshape(-1, 8)
-        proposed: dict[int, list[np.ndarray]] = {}
-        for b in range(BLOCKS):
-            order = np.argsort(parts[:, b], kind="stable")
-            values, first = np.unique(parts[order, b], return_index=True)
-            for v, a, z in zip(values, first, [*first[1:], len(order)], strict=True):
-                for i in self.blocks[b].get(int(v), ()):
-                    if self.size[i] == size:
-                        proposed.setdefault(i, []).append(order[a:z])
-        for i in of_size:
-            if int(i) in proposed:
-                at = np.unique(np.concatenate(proposed[int(i)]))
-                at = at[np.bitwise_count(prints[at] ^ self.prints[i]) <= RADIUS]
-                if len(at):
-                    yield int(i), at
+        parts = prints.astype("<u8").view("<u2").reshape(-1, BLOCKS)
+        order = np.argsort(parts, axis=0, kind="stable")
+        tables = [parts[order[:, b], b] for b in range(BLOCKS)]
+        for i in np.flatnonzero(self.size == size) if items is None else items[self.size[items] == size]:
+            own = self.prints[i : i + 1].astype("<u8").view("<u2")
+            proposed = [order[_ranges(*_span(tables[b], own[b] ^ _NEAR)), b] for b in range(BLOCKS)]
+            at = np.unique(np.concatenate(proposed))
+            at = at[np.bitwise_count(prints[at] ^ self.prints[i]) <= RADIUS]
+            if len(at):
+                yield int(i), at
+
+
+def window_prints(shingle: np.ndarray, length: int, n: int) -> np.ndarray:
+    """The SimHash of the ``length`` shingles from each of ``n`` places on, from running sums of their bits."""
+    out = np.empty(n, dtype=np.uint64)
+    for a in range(0, n, 1 << 14):
+        z = min(n, a + (1 << 14))
+        total = np.zeros((z - a + length, 64), dtype=np.int32)
+        np.cumsum(bits_of(shingle[a : z + length - 1]), axis=0, out=total[1:])
+        out[a:z] = np.packbits(total[length:] > total[: z - a], axis=1, bitorder="little").view("<u8").reshape(-1)
+    return out
 
 
 def _document(index: ItemIndex, hashes: np.ndarray, shingle: np.ndarray, seeds: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
     """(item, similarity, first word, words) of the best window of one document for each item that has one.
 
-    Items of which the whole document holds too few shingles are left out, which bounds all their windows; of the others
-    every window is measured. A window counts a shingle as often as the item holds it at most: a place counts in those
-    windows that hold it, but not also the place so many before it.
+    Items of which the whole document holds too few shingles are left out, which bounds all their windows. Of the others
+    the windows near by fingerprint are verified first; a whole copy is near and no window is better. Where none is
+    whole, the fingerprint may be too far from a window that holds enough, so every window is measured: exact for the rest.
     """
     unique, count = np.unique(shingle[seeds], return_counts=True)
     first, last = _span(index.seed, unique)
@@ -116,9 +114,37 @@ def _document(index: ItemIndex, hashes: np.ndarray, shingle: np.ndarray, seeds:
     some = np.zeros(len(index.ids), dtype=bool)
     some[index.seed_item[at]] = True
     some &= held / index.weight >= least
-    entries = at[some[index.seed_item[at]]]
-    if not len(entries):
+    items = np.flatnonzero(some)
+    if not len(items):
         return []
+    out, rest = [], []
+    for size in np.unique(index.size[items]):
+        length, n = int(size) - index.k + 1, len(hashes) - int(size) + 1
+        near = dict(index.near_items(window_prints(shingle, length, n), size, items)) if n > 0 else {}
+        for i in items[index.size[items] == size]:
+            whole = next((w for w in near.get(int(i), ()) if _holds_all(index, int(i), shingle[w : w + length])), None)
+            if whole is None:
+                rest.append(i)
+            else:
+                out.append((int(i), 1.0, int(whole), int(size)))
+    if rest:
+        of_rest = np.zeros(len(index.ids), dtype=bool)
+        of_rest[rest] = True
+        out += _measured(index, hashes, shingle, seeds, at[of_rest[index.seed_item[at]]], least)
+    return out
+
+
+def _holds_all(index: ItemIndex, item: int, shingle: np.ndarray) -> bool:
+    unique, weight = np.unique(shingle, return_counts=True)
+    return np.array_equal(unique, index.shingles[item][0]) and np.array_equal(weight, index.shingles[item][1])
+
+
+def _measured(index: ItemIndex, hashes: np.ndarray, shingle: np.ndarray, seeds: np.ndarray, entries: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
+    """The best window of each item of ``entries`` of the index, of all windows, by sliding counts.
+
+    A window counts a shingle as often as the item holds it at most: a place counts in those windows that hold it, but
+    not also the place so many before it.
+    """
     entries = entries[np.argsort(index.seed_item[entries], kind="stable")]
     order = np.argsort(shingle[seeds], kind="stable")
     places, ordered = seeds[order], shingle[seeds][order]  # equal shingles in the order of their places
@@ -214,30 +240,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     Words are compared without case and punctuation. A window of as many words as the item is a match if the shingles it
     shares weigh at least ``similarity`` of all the item's. Items go to the executors in blocks of bounded size, each
     block over all documents. Items of fewer words than a shingle match only where all their words follow each other;
-    null items, items without words and null or empty texts match nothing. Repeated rows match each.
+    null items, items without words and null or empty texts match nothing. Repeated rows match each; of windows that are
+    equally similar the first counts. Texts may be of any length: time grows with their words, not with words times items.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = docs.sparkSession.createDataFrame([], _SCHEMA)
+    out = None
     for ids, texts in _passes(benchmark, item_col, item_text_col, items_per_pass, bytes_per_pass):
         index = ItemIndex(ids, texts, shingle)
         if not index.ids:
             continue
         matches = _mapper(index, similarity)
 
-        def run(batches: Iterator[pa.RecordBatch], matches=matches, index=index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], matches=matches, ids=tuple(index.ids)) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [(batch.column(0)[i].as_py(), index.ids[item], s, w, n) for i, m in matches(batch.column(1)) for item, s, w, n in m]
+                found = [(batch.column(0)[i].as_py(), ids[item], s, w, n) for i, m in matches(batch.column(1)) for item, s, w, n in m]
                 if found:
                     columns = list(zip(*found, strict=True))
                     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
 
-        out = out.union(map_batches(rows, run, _SCHEMA))
-    return out
+        # One block of items is mapped as it is asked for; before another comes, the rows so far are written, so that the driver and each task hold one block.
+        out = map_batches(rows, run, _SCHEMA) if out is None else settle(out, "items").union(map_batches(rows, run, _SCHEMA))
+    return docs.sparkSession.createDataFrame([], _SCHEMA) if out is None else out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", items_per_pass: int = ITEMS_PER_PASS, bytes_per_pass: int = BYTES_PER_PASS) -> DataFrame:
-    """The rows of ``docs`` whose whole text holds no item, by the rules of ``contaminated``; one filter for each block of items."""
+    """The rows of ``docs`` whose whole text holds no item, by the rules of ``contaminated``; one filter for each block of items.
+
+    The rows left are written between blocks of items, so that each task holds one block. All columns stay, whatever they are called;
+    null and empty texts hold nothing and stay; repeated rows each stay or go.
+    """
+    first = True
     for ids, texts in _passes(benchmark, item_col, item_text_col, items_per_pass, bytes_per_pass):
         matches = _mapper(ItemIndex(ids, texts, shingle), similarity)
 
@@ -247,5 +280,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
                 keep[[i for i, _ in matches(batch.column(batch.schema.get_field_index(text_col)))]] = False
                 yield batch if keep.all() else batch.filter(pa.array(keep))
 
-        docs = map_batches(docs, run, docs.schema)
+        docs = map_batches(docs if first else settle(docs, "clean"), run, docs.schema)
+        first = False
     return docs

@@ -15,8 +15,8 @@ from gristmill.llm._shared import map_batches
 from gristmill.llm._tokens import LOWER, PIECE, Texts, texts_of
 
 BUCKETS, SIZE = 1 << 15, 16
-#: Labelled texts fitted for each language, at most; all other texts are only counted.
-SAMPLE_PER_LANG = 200
+#: Labelled texts fitted for each language, at most; all other texts are only counted. Languages learnt, the most frequent ones, at most.
+SAMPLE_PER_LANG, MOST_LANGS = 200, 256
 UNKNOWN = "und"
 
 _IS_LETTER = np.zeros(256, dtype=bool)
@@ -174,24 +174,24 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_lang: int = SAMPLE_PER_LANG, seed: int = 7) -> LanguageModel:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_lang: int = SAMPLE_PER_LANG, most_langs: int = MOST_LANGS, seed: int = 7) -> LanguageModel:
     """Train on a bounded sample: at most ``sample_per_lang`` whole texts of each language, those of least seeded hash.
 
     Languages are counted over all rows that may be learnt from, and each gets its own share of the hash range, so the
-    sample that the driver receives has about twice the bound, however many rows a language has. Held-out rows,
-    null texts and null languages are not learnt from; without any row the model knows no language.
+    sample that the driver receives has about twice the bound, however many rows a language has. The hash is of the text,
+    and equal texts of a language are drawn once, however often they or their ids repeat. Beyond ``most_langs`` languages the most
+    frequent are learnt, then by name. Held-out rows, null texts and null languages are not learnt from; without any row the
+    model knows no language.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where("text is not null and lang is not null").where(~held_out())
-    spot = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)).alias("spot")
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1 << 40, ((2 * sample_per_lang + 20) << 40) // n))).otherwise(share)
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
+    share = F.floor(F.least(F.lit(1.0), (2 * sample_per_lang + 20) / F.col("n")) * (1 << 40)).alias("share")
+    spot = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 40)).alias("spot")
+    shares = counts.select(F.col("lang").alias("_lang"), share)  # ``most_langs`` rows at most
     drawn: dict[str, list] = {}
-    if counts:
-        for r in rows.withColumn("spot", spot).where(F.col("spot") < share).collect():
-            drawn.setdefault(r.lang, []).append((r.spot, r.text))
+    for r in rows.select("lang", "text", spot).join(F.broadcast(shares), F.col("lang") == F.col("_lang")).where("spot < share").dropDuplicates(["lang", "spot"]).select("lang", "spot", "text").collect():
+        drawn.setdefault(r.lang, []).append((r.spot, r.text))
     samples = [(lang, text) for lang in sorted(drawn) for _, text in sorted(drawn[lang])[:sample_per_lang]]
     return train(samples, seed=seed)
 
@@ -199,7 +199,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score, rejected`` for every input row, from its whole text alone.
 
-    Null texts and texts without letters are ``und`` with score 0, and rejected. Other columns are not read.
+    Null texts and texts without letters are ``und`` with score 0, and rejected. Of equal scores the first language by name is
+    predicted. Texts may be of any length, repeated rows are rows of their own. Other columns are not read.
     """
     names = pa.array([*model.langs, UNKNOWN])
 

@@ -112,8 +112,20 @@ _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
 _LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse({_DIGITS}), i, 1)::INT WHEN substr(reverse({_DIGITS}), i, 1)::INT > 4 THEN substr(reverse({_DIGITS}), i, 1)::INT * 2 - 9 ELSE substr(reverse({_DIGITS}), i, 1)::INT * 2 END)) % 10 = 0"
 _CODE = "replace(m, ' ', '')"
 _MOD97 = f"""list_reduce(list_transform(string_split(array_to_string(list_transform(string_split(substr({_CODE}, 5) || substr({_CODE}, 1, 4), ''), lambda c: CASE WHEN c BETWEEN 'A' AND 'Z' THEN (ascii(c) - 55)::VARCHAR ELSE c END), ''), ''), lambda c: c::INT), lambda a, x: (a * 10 + x) % 97) = 1"""
-_SOCIAL = r"regexp_matches(lower(substr(t, greatest(s - 39, 1)::BIGINT, least(s, 40)::BIGINT) || ' ' || substr(t, (s + length(m) + 1)::BIGINT, 40)), '(^|[^\p{L}])(ssn|social|security)($|[^\p{L}])')"
-_AGAINST = r"regexp_matches(lower(substr(t, greatest(s - 39, 1)::BIGINT, least(s, 40)::BIGINT) || ' ' || substr(t, (s + length(m) + 1)::BIGINT, 40)), '(^|[^\p{L}])(example|sample|version|isbn|serial|order|invoice|test)($|[^\p{L}])')"
+_NEAR = "lower(substr(t, greatest(s - 39, 1)::BIGINT, least(s, 40)::BIGINT) || ' ' || substr(t, (s + length(m) + 1)::BIGINT, 40))"
+
+
+def _has(words: tuple[str, ...]) -> str:
+    return f"regexp_matches({_NEAR}, '(^|[^\\p{{L}}])({'|'.join(words)})($|[^\\p{{L}}])')"
+
+
+def _scores() -> str:
+    """A span's score in tenths: where its kind starts, two up for a word of its kind nearby, two down for one of the others."""
+    start = " ".join(f"WHEN '{kind}' THEN {round(score * 10)}" for kind, score in pii._START.items())
+    up = " ".join(f"WHEN '{kind}' THEN {_has(words)}" for kind, words in pii._RAISE.items())
+    formed = f"kind = 'secret' AND regexp_matches(m, '^({pii._KEY})')"
+    return f"greatest(0, least(10, CASE WHEN {formed} THEN {round(pii._FORMED * 10)} ELSE CASE kind {start} END END + 2 * (CASE kind {up} END)::INT - 2 * ({_has(pii._LOWER)})::INT))"
+
 
 OP1 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
@@ -123,11 +135,13 @@ found AS (
   UNION ALL SELECT * FROM ({_matches("card", r"[0-9](?:[\x20-]?[0-9])+")}) WHERE length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}
   UNION ALL SELECT * FROM ({_matches("phone", r"\+[0-9][\x20().0-9-]+[0-9]")}) WHERE length({_DIGITS}) BETWEEN 9 AND 15
   UNION ALL SELECT * FROM ({_matches("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b")}) WHERE length({_CODE}) BETWEEN 15 AND 34 AND {_MOD97}
-  UNION ALL SELECT v.* FROM ({_matches("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b")}) v JOIN d USING (r)
-    WHERE NOT regexp_matches(m, '^(000|666|9)|-00-|-0000$') AND {_SOCIAL} AND NOT {_AGAINST}),
-texts AS (SELECT r, k, s, kind || ':' || s || ':' || (s + length(m)) AS span FROM found)
+  UNION ALL SELECT * FROM ({_matches("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b")}) WHERE NOT regexp_matches(m, '^(000|666|9)|-00-|-0000$')
+  UNION ALL SELECT * FROM ({_matches("secret", rf"\b(?:{pii._KEY}|[A-Fa-f0-9]{{32,128}})\b")}) WHERE regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND len(list_distinct(string_split(m, ''))) >= 8),
+scored AS (SELECT f.*, {_scores()} AS tenths FROM found f JOIN d USING (r)),
+texts AS (SELECT r, k, s, kind || ':' || s || ':' || (s + length(m)) AS span, (tenths // 10) || '.' || (tenths % 10) AS score FROM scored WHERE k < 4 OR tenths >= 5)
 SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_email, count(*) FILTER (WHERE k = 1) AS n_ip, count(*) FILTER (WHERE k = 2) AS n_card, count(*) FILTER (WHERE k = 3) AS n_phone,
-       sha256(coalesce(string_agg(span, ',' ORDER BY k, s) FILTER (WHERE k < 4), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY k, s), '') AS spans
+       sha256(coalesce(string_agg(span, ',' ORDER BY k, s) FILTER (WHERE k < 4), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY k, s), '') AS spans,
+       coalesce(string_agg(score, ',' ORDER BY k, s), '') AS scores
 FROM d LEFT JOIN texts USING (r) GROUP BY r, doc_id
 """
 

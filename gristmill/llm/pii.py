@@ -17,7 +17,7 @@ from gristmill.llm._shared import map_batches
 from gristmill.llm._tokens import texts_of
 
 #: The kinds in the order of the output. The first four are found by pattern and validator alone, whatever their score.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE_KINDS = KINDS[:4]
 
 # Patterns of the kinds.
@@ -29,9 +29,12 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+# Keys whose form says so, and long hexadecimal values, which need a word nearby.
+_KEY = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{32,64}"
+_SECRET = re.compile(rf"(?<![A-Za-z0-9_])(?:{_KEY}|[A-Fa-f0-9]{{32,128}})(?![A-Za-z0-9_])")
 
 # The score a confirmed span starts with, and the words near it that raise or lower it.
-_START = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
+_START = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3, "secret": 0.4}
 _RAISE = {
     "email": ("mail", "contact", "write", "courriel", "correo", "kontakt"),
     "ip": ("ip", "address", "host", "server", "adresse"),
@@ -39,9 +42,10 @@ _RAISE = {
     "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "telefono"),
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social", "security"),
+    "secret": ("token", "secret", "key", "password", "passwd", "credential", "api"),
 }
 _LOWER = ("example", "sample", "version", "isbn", "serial", "order", "invoice", "test")
-WINDOW, STEP, LEAST = 40, 0.2, 0.5
+WINDOW, STEP, LEAST, _FORMED = 40, 0.2, 0.5, 0.8
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -105,11 +109,20 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
             yield "iban", *m.span()
     for m in _SSN.finditer(text):
         yield "ssn", *m.span()
+    for m in _SECRET.finditer(text):
+        if is_mixed(m[0]):
+            yield "secret", *m.span()
+
+
+def is_mixed(value: str) -> bool:
+    """Whether a value looks drawn at random: digits and letters, eight different characters at least."""
+    return any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and len(set(value)) >= 8
 
 
 def _score(text: str, kind: str, start: int, end: int) -> float:
     near = {w.lower() for w in _WORD.findall(text[max(0, start - WINDOW) : start] + " " + text[end : end + WINDOW])}
-    score = _START[kind] + STEP * any(w in near for w in _RAISE[kind]) - STEP * any(w in near for w in _LOWER)
+    begin = _FORMED if kind == "secret" and re.match(_KEY, text[start:end]) else _START[kind]
+    score = begin + STEP * any(w in near for w in _RAISE[kind]) - STEP * any(w in near for w in _LOWER)
     return round(min(1.0, max(0.0, score)), 2)
 
 
@@ -136,7 +149,7 @@ def masked(text: str, spans: list[Span]) -> str:
 
 
 def _suspects(column: pa.Array) -> Iterator[tuple[int, str]]:
-    """Rows with an @ or a digit, without which no kind matches, and their texts."""
+    """Rows with an @ or a digit, without which no kind is confirmed, and their texts."""
     hint = np.zeros(256, dtype=bool)
     hint[[ord("@"), *range(48, 58)]] = True
     for t in texts_of(column):
@@ -153,7 +166,8 @@ _ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()),
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, found`` for every input row: the spans of its whole text with their scores.
 
-    Null and empty texts have no spans. Repeated rows are rows of their own. Other columns are not read.
+    Null and empty texts have no spans; texts may be of any length. Spans of different kinds may overlap. Repeated rows are rows
+    of their own. Other columns are not read; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +197,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts of the base kinds, the hash of the base spans, and all spans as text, from ``detect``'s rows."""
+    """Counts of the base kinds, the hash of the base spans, and all spans and their scores as text, from ``detect``'s rows."""
 
     def listed(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -192,4 +206,4 @@ def digest(found: DataFrame) -> DataFrame:
     def count(kind):
         return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, BASE_KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"), F.transform("found", lambda s: s["score"]).alias("scores"))
+    return found.select("doc_id", *map(count, BASE_KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"), F.array_join(F.transform("found", lambda s: F.format_string("%.1f", s["score"])), ",").alias("scores"))

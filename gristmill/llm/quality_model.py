@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm._shared import map_batches, settle
+from gristmill.llm._shared import map_batches
 from gristmill.llm._tokens import PIECE, Texts, texts_of, word_hashes, words
 
 #: Texts of fewer words say nothing by their capitals and stops.
@@ -216,43 +216,56 @@ def train_scorer(texts: list[str | None], target: np.ndarray, epochs: int = 6, r
     return weights, bias
 
 
-def vote_patterns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, pattern`` of every row: all labellers' votes on its whole text, as one number."""
+def vote_patterns(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``pattern`` of every row: all labellers' votes on its whole text, as one number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [pattern(votes(measure(t))) for t in texts_of(batch.column(1))]
-            p = np.concatenate(found) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.astype(np.int64))], names=["doc_id", "pattern"])
+            for t in texts_of(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(pattern(votes(measure(t))).astype(np.int64))], names=["pattern"])
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, pattern long")
+    return map_batches(docs.select(F.col(text_col).cast("string").alias("text")), run, "pattern long")
+
+
+def _drawn(docs: DataFrame, text_col: str, seed: int, spots: dict[int, int]) -> DataFrame:
+    """``spot, text, pattern`` of the texts whose seeded hash is below the limit of their pattern; equal texts once.
+
+    What is above every limit never leaves the scan; votes are counted anew on the little that does.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spot = batch.column(0).to_numpy()
+            for t in texts_of(batch.column(1)):
+                found = pattern(votes(measure(t)))
+                own = spot[t.first : t.first + len(t)]
+                keep = np.flatnonzero(own < np.array([spots.get(int(p), 0) for p in found], dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(own[keep]), batch.column(1).slice(t.first, len(t)).take(pa.array(keep)).cast(pa.string()), pa.array(found[keep].astype(np.int64))], names=["spot", "text", "pattern"])
+
+    text = F.col(text_col).cast("string").alias("text")
+    near = docs.select(F.pmod(F.xxhash64(text, F.lit(seed)), F.lit(1 << 40)).alias("spot"), text).where(F.col("text").isNotNull() & (F.col("spot") < max(spots.values(), default=0)))
+    return map_batches(near, run, "spot long, text string, pattern long").dropDuplicates(["spot"])
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, seed: int = 5) -> QualityModel:
     """Labeller accuracies from the votes on all texts; scorer weights from at most ``sample`` whole texts of least seeded hash.
 
     The driver gets a count for each vote pattern, 3 to the number of labellers at most, and the sampled texts. Good and
-    bad texts, by posterior, are drawn at rates of their own, so that the sample holds both.
+    bad texts, by posterior, are drawn at rates of their own, so that the sample holds both. Texts are drawn by their own
+    hash and equal ones once, so repeated rows and ids neither swell the sample nor get each other's votes.
     """
-    found = settle(vote_patterns(docs, id_col, text_col), "votes")
-    counted = found.groupBy("pattern").count().collect()
+    counted = vote_patterns(docs, text_col).groupBy("pattern").count().orderBy("pattern").collect()
     patterns, counts = np.array([r.pattern for r in counted], dtype=np.int64), np.array([r["count"] for r in counted], dtype=np.float64)
     labels = fit_labels(patterns, counts)
     posterior = labels.posterior(patterns) if len(patterns) else np.zeros(0)
-    drawn: list[tuple[int, str | None, float]] = []
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(seed)), F.lit(1 << 40)).alias("spot"))
-    sides = [(s, counts[s].sum()) for s in (posterior >= 0.5, posterior < 0.5)]
-    spots = [F.lit(min(1 << 40, int((sample // 2 + 50) * (1 << 40) / n))) if n else F.lit(0) for _, n in sides]
-    bad_patterns = [int(p) for p in patterns[posterior < 0.5]]
-    picked = found.select(F.col("doc_id").alias("id"), F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)).alias("own"), "pattern")
-    is_bad = F.col("pattern").isin(bad_patterns) if bad_patterns else F.lit(False)
-    picked = picked.where(F.col("own") < F.when(is_bad, spots[1]).otherwise(spots[0])).select("id", "pattern").distinct()
-    ids = {r.id: r.pattern for r in picked.collect()}  # about ``sample`` rows
-    if ids:
-        rows = keyed.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids if i is not None], "id long")), F.col("doc_id") == F.col("id"), "left_semi")
-        of = dict(zip(patterns.tolist(), posterior.tolist(), strict=True))
-        drawn = sorted((r.spot, r.text, of[ids[r.doc_id]]) for r in rows.where("text IS NOT NULL").collect())
-        drawn = [x for side in (True, False) for x in [d for d in drawn if (d[2] >= 0.5) == side][: sample // 2]]
+    spots = {}
+    for side in (posterior >= 0.5, posterior < 0.5):
+        n = counts[side].sum()
+        spots |= {int(p): min(1 << 40, int((sample // 2 + 50) * (1 << 40) / n)) for p in patterns[side]}
+    of = dict(zip(patterns.tolist(), posterior.tolist(), strict=True))
+    rows = _drawn(docs, text_col, seed, spots).collect() if spots else []  # about ``sample`` rows
+    drawn = sorted((r.spot, r.text, of[r.pattern]) for r in rows)
+    drawn = [x for side in (True, False) for x in [d for d in drawn if (d[2] >= 0.5) == side][: sample // 2]]
     weights, bias = train_scorer([t for _, t, _ in drawn], np.array([y for _, _, y in drawn])) if drawn else (np.zeros(BUCKETS, np.float32), 0.0)
     return QualityModel(labels, weights, bias)
 
@@ -260,7 +273,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 def classify(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """``doc_id, score, label_posterior, kept`` for every row: the scorer's probability that the whole text is good.
 
-    Null texts and texts without words have score 0 and are not kept. Repeated rows are rows of their own.
+    Null texts and texts without words have score 0 and are not kept; a score of just ``least`` is kept. Texts may be of any
+    length. Repeated rows are rows of their own, whatever ids they share. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

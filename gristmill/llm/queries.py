@@ -12,7 +12,7 @@ from gristmill.llm._shared import scratch_path, table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(pii.detect(table(spark, sf_dir, "documents"))).drop("scores")
+    return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,10 +53,16 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_rollup.token_counts(table(spark, sf_dir, "documents")).withColumn("op", F.lit("upsert"))
-    rollup = token_rollup.TokenRollup(spark, scratch_path(spark, "tokens"))
-    rollup.apply(1, counts)
-    rollup.apply(1, counts)  # sent twice: counts once
+    """Estimates are inserted under the tokenizer's name and another, then revised by real counts, and the other's are deleted."""
+    docs, version = table(spark, sf_dir, "documents"), "byte_bpe_50k"
+    rollup = token_rollup.TokenRollup(spark, scratch_path(spark, "tokens"), each_row=True)
+    upsert, draft = F.lit("upsert"), token_rollup.estimated_counts(docs, "quarter_bytes")
+    rollup.apply(1, draft.union(token_rollup.estimated_counts(docs, version)).withColumn("op", upsert))
+    counts = token_rollup.token_counts(docs, version).withColumn("op", upsert)
+    rollup.apply(2, counts)
+    rollup.apply(2, counts)  # sent twice: counts once
+    rollup.apply(3, draft.withColumn("op", F.lit("delete")))
+    rollup.compact()
     return rollup.totals()
 
 

@@ -16,8 +16,8 @@ from gristmill.llm._tokens import LOWER, Texts, mix, texts_of, words
 from gristmill.llm.components import connected_components
 
 RADIUS = 3
-#: Distances to this many reference fingerprints are held against each other before a pair is verified.
-PIVOTS = mix(np.arange(101, 117, dtype=np.uint64))
+#: Distances to these reference fingerprints are held against each other before a pair is verified: eight, a byte of a long each.
+PIVOTS = mix(np.arange(101, 109, dtype=np.uint64))
 #: Rows of one block of a large bucket, and rows from which a bucket is dealt anew by more bits.
 BLOCK, LARGE = 512, 16384
 
@@ -174,8 +174,8 @@ def _bucketed(rows: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
     pairs = spark.createDataFrame([(_signed(old), _signed(new)) for old, news in masks.items() for new in news], "old long, mask long")  # 20, or 20 for each mask before: 8,420 at most
     if 0 in masks:
         each = F.explode(F.array(*[F.lit(_signed(x)) for x in masks[0]]))
-        return rows.select("fp", each.alias("mask")).select("mask", F.expr("fp & mask").alias("key"), "fp")
-    return rows.withColumnRenamed("mask", "old").join(F.broadcast(pairs), "old").select("mask", F.expr("fp & mask").alias("key"), "fp")
+        return rows.select("fp", "pivots", each.alias("mask")).select("mask", F.expr("fp & mask").alias("key"), "fp", "pivots")
+    return rows.withColumnRenamed("mask", "old").join(F.broadcast(pairs), "old").select("mask", F.expr("fp & mask").alias("key"), "fp", "pivots")
 
 
 def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -195,29 +195,47 @@ def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def bucket_links(group: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+def pivot_table(fp: np.ndarray) -> np.ndarray:
+    """The distances of each fingerprint to the pivots, as bytes of one 64-bit value, the first pivot's lowest."""
+    return sum((np.bitwise_count(fp ^ p).astype(np.uint64) << np.uint64(8 * i) for i, p in enumerate(PIVOTS)), np.zeros(len(fp), np.uint64))
+
+
+def pivot_column(fp):
+    """``pivot_table`` as a column."""
+    return F.expr(" | ".join(f"shiftleft(CAST(bit_count({fp} ^ {_signed(int(p))}L) AS BIGINT), {8 * i})" for i, p in enumerate(PIVOTS)))
+
+
+def bucket_links(group: np.ndarray, fp: np.ndarray, radius: int = RADIUS, table: np.ndarray | None = None, work: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect all fingerprints of one bucket within the radius, as few as a spanning forest has.
 
-    Pairs of a bucket whose distances to any pivot differ by more than the radius are discarded; survivors are verified.
+    ``table`` has the pivot distances of each. A bucket is put in order of the first, so that pairs farther apart there are never
+    formed; of the others those whose distances to any pivot differ by more than the radius are discarded, and survivors
+    are verified. ``work`` gets the numbers of pairs formed, verified and linked.
     """
+    table = pivot_table(fp) if table is None else table
+    distance = table.astype("<u8").view(np.uint8).reshape(-1, len(PIVOTS)).astype(np.int16)
+    order = np.lexsort((distance[:, 0], group))
+    group, fp, distance = group[order], fp[order], distance[order]
     n = len(fp)
-    table = [np.bitwise_count(fp ^ p).astype(np.int16) for p in PIVOTS]
     label, at, lag = np.arange(n), np.arange(n), 1
+    count = {"formed": 0, "verified": 0, "linked": 0}
     while True:
         at = at[at + lag < n]
-        at = at[group[at] == group[at + lag]]
+        at = at[(group[at] == group[at + lag]) & (distance[at + lag, 0] - distance[at, 0] <= radius)]
         if not len(at):
             break
         a = at[label[at] != label[at + lag]]
         b = a + lag
-        for d in table:
-            near = np.abs(d[a] - d[b]) <= radius
-            a, b = a[near], b[near]
-            if not len(a):
-                break
+        count["formed"] += len(a)
+        near = (np.abs(distance[a, 1:] - distance[b, 1:]) <= radius).all(axis=1)
+        a, b = a[near], b[near]
+        count["verified"] += len(a)
         near = np.bitwise_count(fp[a] ^ fp[b]) <= radius
+        count["linked"] += int(near.sum())
         label = _unite(label, a[near], b[near])
         lag += 1
+    if work is not None:
+        work.update({k: work.get(k, 0) + v for k, v in count.items()})
     linked = np.flatnonzero(label != np.arange(n))
     return fp[linked], fp[label[linked]]
 
@@ -232,7 +250,8 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     if radius > RADIUS:
         raise ValueError("the blocks guarantee a radius of 3")
-    level, rows, out = 0, distinct.select("fp"), None
+    # Distances to the pivots are computed once for each fingerprint and go with it.
+    level, rows, out = 0, distinct.select("fp", pivot_column("fp").alias("pivots")), None
     masks = {0: _masks(0)}
     while True:
         keyed = _bucketed(rows, masks)
@@ -242,10 +261,10 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         parts = F.ceil(F.col("count") / BLOCK).cast("int")
         own = F.when(parts == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("fp"), parts).cast("int"))
         other = F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")
-        dealt = ready.select("mask", "key", "fp", own.alias("own"), other).select(F.xxhash64("mask", "key", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "fp")
+        dealt = ready.select("mask", "key", "fp", "pivots", own.alias("own"), other).select(F.xxhash64("mask", "key", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "fp", "pivots")
         found = _linked(dealt, radius)
         out = found if out is None else out.union(found)
-        rows = shared.where(F.col("count") > LARGE).select("mask", "fp")
+        rows = shared.where(F.col("count") > LARGE).select("mask", "fp", "pivots")
         if level == 2 or rows.limit(1).count() == 0:
             return out
         masks = {m: _masks(m) for news in masks.values() for m in news}
@@ -254,19 +273,19 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def _linked(dealt: DataFrame, radius: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(group, fp):
-            u, v = bucket_links(group, fp.view(np.uint64), radius)
+        def links(group, fp, pivots):
+            u, v = bucket_links(group, fp.view(np.uint64), radius, pivots.view(np.uint64))
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
-        group, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = [np.zeros(0, np.int64)] * 3
         for batch in batches:
-            group, fp = np.concatenate((group, batch.column(0).to_numpy())), np.concatenate((fp, batch.column(1).to_numpy()))
-            cut = int(np.searchsorted(group, group[-1])) if len(group) else 0  # the last bucket may go on
+            held = [np.concatenate((x, c.to_numpy())) for x, c in zip(held, batch.columns, strict=True)]
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last bucket may go on
             if cut:
-                yield links(group[:cut], fp[:cut])
-                group, fp = group[cut:], fp[cut:]
-        if len(group):
-            yield links(group, fp)
+                yield links(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        if len(held[0]):
+            yield links(*held)
 
     return map_batches(dealt.repartition("bucket").sortWithinPartitions("bucket", "fp"), run, "u long, v long")
 
