@@ -87,18 +87,18 @@ def release(settled: DataFrame) -> None:
 
 
 #: Distinct values of a sieve, and so rows of its broadcast, at most.
-SIEVE = 1 << 19
+SIEVE = 1 << 18
 
 
-def sieved(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
-    """``rows`` without most of those whose key is not ``wanted``; the exact join is still to follow.
+def sifted(rows: DataFrame, key: list[str], wanted: DataFrame, flag: str) -> DataFrame:
+    """``rows`` with ``flag``: false where their key is surely none of ``wanted``'s (same names); where true, an exact join is to follow.
 
-    Keys are folded to ``SIEVE`` values, so the broadcast side has that many rows at most, whatever is wanted. Where
-    nearly everything is, nothing is left out and nothing is lost.
+    Keys are folded to ``SIEVE`` values, so the broadcast side has that many rows at most, whatever is wanted; rows that are
+    surely none need no exchange. Where nearly all keys are wanted all flags are true, and nothing is lost but the saving.
     """
-    fold = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE))
-    marks = wanted.select(fold(F.col(wanted_key)).alias("_mark")).distinct()
-    return rows.join(F.broadcast(marks), fold(F.col(key)) == F.col("_mark"), "left_semi")
+    fold = F.pmod(F.xxhash64(*key), F.lit(SIEVE))
+    marks = wanted.select(fold.alias("_mark")).distinct()
+    return rows.join(F.broadcast(marks), fold == F.col("_mark"), "left").withColumn(flag, F.col("_mark").isNotNull()).drop("_mark")
 
 
 def map_batches(df: DataFrame, run, schema) -> DataFrame:

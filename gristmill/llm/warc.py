@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm._shared import SIEVE, map_batches, scratch_path, settle
+from gristmill.llm._shared import map_batches, scratch_path, settle, sifted
 
 VERSION = b"WARC/1.1"
 _VERSION_LINE = re.compile(rb"WARC/[0-9]+\.[0-9]+\r\n")
@@ -185,21 +185,19 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, id_c
     others revisit it; smaller ones are all responses. A null payload is empty. Rows that repeat the response's id are
     responses too; a null id is never referred to, and is a response where no other id has its payload.
     Payloads are read once for their digests, of which (id, digest) is shuffled, and once to be written. Digests that repeat
-    are folded to ``SIEVE`` values and broadcast: pages whose digest folds to none of these repeat nothing and are written where they are
-    read; only the others are shuffled, with their payloads, to learn what they refer to.
+    are folded to a bounded number of values and broadcast: pages whose digest folds to none of these repeat nothing and are written
+    where they are read; only the others are shuffled, with their payloads, to learn what they refer to.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
-    marked = rows.withColumn("own", F.unhex(F.sha1(F.col("payload").cast("binary"))))
-    keys = marked.where(F.octet_length("payload") >= min_revisit_bytes).select("page_id", F.col("own").alias("sha"))
+    marked = rows.withColumn("sha", F.unhex(F.sha1(F.col("payload").cast("binary"))))
+    keys = marked.where(F.octet_length("payload") >= min_revisit_bytes).select("page_id", "sha")
     first = keys.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
     first = settle(first, "repeated")
     # Only rows of repeated payloads come here; a page's own digest tells apart rows that share an id.
     revisits = keys.join(first, "sha").where("first IS NOT NULL AND NOT page_id <=> first").select(F.col("page_id").alias("id"), "sha", F.col("first").alias("refers_to")).distinct()
-    fold = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE))
-    marks = first.select(fold(F.col("sha")).alias("mark")).distinct().withColumn("repeats", F.lit(True))
-    sifted = marked.join(F.broadcast(marks), fold(F.col("own")) == F.col("mark"), "left")
-    alone = sifted.where("repeats IS NULL").select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to"))
-    shared = sifted.where("repeats")
+    sieved = sifted(marked, ["sha"], first, "repeats")
+    alone = sieved.where("NOT repeats").select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to"))
+    shared = sieved.where("repeats").withColumnRenamed("sha", "own")
     planned = alone.union(shared.join(revisits, shared.page_id.eqNullSafe(revisits.id) & (shared.own == revisits.sha), "left").select("page_id", "url", "payload", "refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
