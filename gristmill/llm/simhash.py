@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gristmill.llm import near_copies
 from gristmill.llm._shared import fresh, map_batches, settle
 from gristmill.llm._tokens import LOWER, Texts, mix, texts_of, words
-from gristmill.llm.components import connected_components
+from gristmill.llm.components import connected_components, unite
 
 RADIUS = 3
 #: Distances to these reference fingerprints are held against each other before a pair is verified: eight, a byte of a long each.
@@ -178,23 +179,6 @@ def _bucketed(rows: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
     return rows.withColumnRenamed("mask", "old").join(F.broadcast(pairs), "old").select("mask", F.expr("fp & mask").alias("key"), "fp", "pivots")
 
 
-def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Give the sets of a[i] and b[i] one label, the least index."""
-    while len(a):
-        la, lb = label[a], label[b]
-        apart = la != lb
-        if not apart.any():
-            break
-        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
-        while True:
-            up = label[label]
-            if np.array_equal(up, label):
-                break
-            label = up
-    return label
-
-
 def pivot_table(fp: np.ndarray) -> np.ndarray:
     """The distances of each fingerprint to the pivots, as bytes of one 64-bit value, the first pivot's lowest."""
     return sum((np.bitwise_count(fp ^ p).astype(np.uint64) << np.uint64(8 * i) for i, p in enumerate(PIVOTS)), np.zeros(len(fp), np.uint64))
@@ -232,7 +216,7 @@ def bucket_links(group: np.ndarray, fp: np.ndarray, radius: int = RADIUS, table:
         count["verified"] += len(a)
         near = np.bitwise_count(fp[a] ^ fp[b]) <= radius
         count["linked"] += int(near.sum())
-        label = _unite(label, a[near], b[near])
+        label = unite(label, a[near], b[near])
         lag += 1
     if work is not None:
         work.update({k: work.get(k, 0) + v for k, v in count.items()})
@@ -311,8 +295,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(by_print, prints.fp == by_print.print).select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words_per_shingle: int = 3, seed: int = 42) -> DataFrame:
-    """The rows of ``docs`` with one left of each group of near-duplicates: that of the smallest id, one of repeated rows."""
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words_per_shingle: int = 3, seed: int = 42, similarity: float | None = None) -> DataFrame:
+    """The rows of ``docs`` with one left of each group of near-duplicates: that of the smallest id, one of repeated rows.
+
+    With ``similarity`` texts link by that exact Jaccard similarity of their shingles, not by ``radius``; the fingerprints
+    compared by pivots are then ones whose distance bounds what the sets differ in (``near_copies``). Null texts and texts
+    without words are one group; an empty table gives no rows; other columns stay, whatever they are called.
+    """
+    if similarity is not None:
+        return near_copies.one_of_each(docs, id_col, text_col, similarity, words_per_shingle)
     prints = settle(fingerprints(docs, id_col, text_col, words_per_shingle, seed), "fingerprints")
     best = _grouped(prints, radius).groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "fp")).alias("best"))
     # Null ids get a value of their own, so that the join and the last step agree on plain keys and texts move once.
