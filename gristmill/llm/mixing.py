@@ -16,6 +16,8 @@ WEIGHTS = (5, 2, 1)
 EPOCHS = 3
 #: Words of a block; words and documents of a shard at most on average; shards that share quotas at a time.
 BLOCK, SHARD_WORDS, SHARD_DOCS, SHARD_GROUP = 16, 1 << 18, 512, 1024
+#: Equal rows that one task lists.
+COPIES = 4096
 SEED = 42
 # A Lehmer generator, in arithmetic that any SQL engine repeats, and primes above any number of blocks of a shard.
 _MODULUS, _FACTOR = 2147483647, 48271
@@ -35,13 +37,14 @@ def _hash(column, salt: int):
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
-    """``is_null, source, source_size, docs, target`` of each source of ``sizes (doc_id, source, size)``.
+    """``is_null, source, source_size, docs, target`` of each source of ``sizes (doc_id, source, size)``, each row as often as its ``copies`` say, if it has any.
 
     Sources in code point order, null last, weigh 5, 2, 1 and again; they share all words. A source stops at three times
     its size, the excess goes to the others by weight: with sources ordered by the share of their weight at which they
     stop, those before the first that the rest would not fill are full. One row for each source is all that is ordered.
     """
-    sources = sizes.groupBy(F.col("source").isNull().alias("is_null"), "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
+    copies = F.col("copies") if "copies" in sizes.columns else F.lit(1)
+    sources = sizes.groupBy(F.col("source").isNull().alias("is_null"), "source").agg(F.sum(F.col("size") * copies).alias("source_size"), F.sum(copies).alias("docs"))
     rank = F.row_number().over(Window.orderBy("is_null", "source"))
     weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), ((rank - 1) % len(WEIGHTS) + 1).cast("int")).cast("long")
     weighed = sources.select("*", rank.alias("sid"), weight.alias("weight"), F.sum("source_size").over(Window.partitionBy()).alias("total"))
@@ -87,9 +90,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     into blocks of ``BLOCK`` words. Blocks go to sources, groups of shards and shards by Sainte-Laguë quotas. A shard's
     quota takes all its blocks as often as it goes, and of the rest those that a seeded stride reaches first; no block is
     taken more than three times, so no document either. Sources that are full take all their blocks three times.
-    Null texts and texts without words have size 0. Null ids share one shard; repeated rows are rows of their own.
+    Null texts and texts without words have size 0, and texts may be of any length. Repeated rows are rows of their own. Rows of one
+    id fall into one shard, null ids too, but rows of one id, source and size are one row with a count there, so that neither
+    an id of very many rows nor null ids fill a task. An empty table gives no rows; other columns are not read.
     """
-    sizes = settle(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(f"`{text_col}`").alias("size")), "sizes")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(f"`{text_col}`").alias("size"))
+    sizes = settle(rows.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("copies")), "sizes")
     sources = source_targets(sizes).withColumn("blocks", F.round(F.col("target") / BLOCK).cast("long"))
     sources = settle(sources.coalesce(1), "sources")
     whole = sources.withColumn("all_blocks", F.round(F.sum("target").over(Window.partitionBy()) / BLOCK).cast("long")).withColumn("most", F.ceil(F.col("source_size") / BLOCK) * EPOCHS)
@@ -101,9 +107,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = placed.withColumn("shard", _hash(F.col("doc_id"), 1) % F.col("shards"))
 
     line = Window.partitionBy("sid", "shard").orderBy(_hash(F.col("doc_id"), 2), "doc_id", "size")
-    lined = placed.select("*", (F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("first"))
+    total = F.col("size") * F.col("copies")
+    lined = placed.select("*", (F.sum(total).over(line.rowsBetween(Window.unboundedPreceding, 0)) - total).alias("start"))
 
-    per_shard = placed.groupBy("sid", "shard").agg(F.sum("size").alias("words")).withColumn("shard_group", F.floor(F.col("shard") / SHARD_GROUP))
+    per_shard = placed.groupBy("sid", "shard").agg(F.sum(total).alias("words")).withColumn("shard_group", F.floor(F.col("shard") / SHARD_GROUP))
     per_shard = settle(per_shard.withColumn("most", F.ceil(F.col("words") / BLOCK) * EPOCHS), "shards")
     per_group = per_shard.groupBy("sid", "shard_group").agg(F.sum("words").alias("words"), F.sum("most").alias("most"))
     groups = apportion(per_group.join(quotas.select("sid", F.col("quota").alias("seats")), "sid"), ["sid"], "shard_group", "words", "seats", "most")
@@ -114,7 +121,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     picks = by_shard.where("words > 0").select(
         "sid", "shard", n.alias("n"), F.floor(F.col("quota") / n).alias("every"), (F.col("quota") % n).alias("extra"), stride.alias("stride"), (_hash(F.col("sid") * 7919 + F.col("shard"), 4) % n).alias("shift")
     )
-    taken = lined.join(picks, ["sid", "shard"], "left")
+    merged = lined.join(picks, ["sid", "shard"], "left")
+    # Equal rows follow each other in their shard; very many of them are listed by several tasks.
+    one = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")
+    many = merged.where(F.col("copies") > COPIES).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))).alias("from"))
+    listed = many.repartition("sid", "doc_id", "size", "from").select("*", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + (COPIES - 1), F.col("copies") - 1))).alias("copy")).drop("from")
+    taken = merged.where(F.col("copies") <= COPIES).select("*", one).union(listed).withColumn("first", F.col("start") + F.col("copy") * F.col("size"))
     # Of the blocks that the document overlaps, the words inside those picked once more.
     more = F.expr(
         f"""CASE WHEN size > 0 AND extra > 0 THEN aggregate(

@@ -96,3 +96,21 @@ def test_empty_tables(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).collect() == []
     nothing = mixing.mix(spark.createDataFrame([(1, None, None, None, None), (2, "", "a", None, None)], SCHEMA)).collect()
     assert [(r["size"], r.target, r.taken) for r in nothing] == [(0, 0.0, 0)] * 2
+
+
+def test_rows_that_repeat_are_rows_of_their_own(spark, tmp_path, monkeypatch):
+    """Null and repeated ids in thousands, very long texts and clashing columns, against SQL that lists every row."""
+    import duckdb
+
+    from gristmill.llm import mixing, oracles
+
+    monkeypatch.setattr(mixing, "COPIES", 64)
+    rows = [(None, "a b c", "s1")] * 700 + [(None, "a b", "s1")] * 300 + [(7, "x y z u v", "s2")] * 500 + [(i, "w " * (i % 40), f"s{i % 3}") for i in range(300)] + [(1000, "long " * 200_000, None), (1001, None, None), (1002, "", "s0")]
+    path = str(tmp_path / "d")
+    spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS size", "'t' AS taken", "2 AS copies", "3 AS sid").repartition(4).write.parquet(path)
+    db = duckdb.connect()
+    db.sql(f"create view documents as select doc_id, text, source from '{path}/*.parquet'")
+    got = mixing.mix(spark.read.parquet(path))
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(db.sql(oracles.OP7).select(*got.columns).fetchall(), key=key)
+    assert got.count() == len(rows) and mixing.mix(spark.read.parquet(path).limit(0)).collect() == []
