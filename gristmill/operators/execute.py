@@ -13,6 +13,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.operators.equivalence import canonical_rows
+
 #: Rows from which a query without LIMIT counts as a product that nobody wanted.
 MOST_ROWS, TIMEOUT = 10_000, 30.0
 _LIMIT = re.compile(r"\bLIMIT\b", re.IGNORECASE)
@@ -29,6 +31,10 @@ class ExecutionResult:
     is_empty: bool = False
     columns: list[str] = field(default_factory=list)
     condition: str | None = None
+    #: Rows of the whole result; where it is truncated ``rows`` holds the first of them and ``key`` stands for all.
+    n_rows: int = 0
+    truncated: bool = False
+    key: str | None = None
 
 
 class NotAQuery(ValueError):
@@ -66,7 +72,8 @@ def execute_sql(spark: SparkSession, sql: str, timeout: float = TIMEOUT, most_ro
     """Run one query; whatever happens is a result, never an exception.
 
     Never more than ``most_rows`` and one rows come to the driver. A query that has more fails if LIMIT is nowhere in its
-    text, and is cut there otherwise. After ``timeout`` seconds its jobs are cancelled; the session stays usable.
+    text. Otherwise it succeeds and is ``truncated``: its rows are counted and made into a key where they are, so that
+    comparisons are of the whole result. After ``timeout`` seconds its jobs are cancelled; the session stays usable.
     """
     began, group = time.time(), f"gristmill-{uuid.uuid4().hex}"
     context, late = spark.sparkContext, threading.Event()
@@ -87,6 +94,9 @@ def execute_sql(spark: SparkSession, sql: str, timeout: float = TIMEOUT, most_ro
             raise NotAQuery("only queries are executed")
         df = spark.sql(sql)
         rows = [tuple(r) for r in df.limit(most_rows + 1).collect()]
+        n_rows, key = len(rows), None
+        if len(rows) > most_rows and _LIMIT.search(sql):
+            n_rows, key = whole_key(df)
         if late.is_set():
             raise TimeoutError
     except Exception as e:
@@ -100,11 +110,16 @@ def execute_sql(spark: SparkSession, sql: str, timeout: float = TIMEOUT, most_ro
         for k, v in before.items():
             context.setLocalProperty(k, v)
     took = time.time() - began
-    if len(rows) > most_rows:
-        if not _LIMIT.search(sql):
-            return ExecutionResult(False, error=f"Query returned over {most_rows} rows without LIMIT; a join condition may be missing", execution_time=took)
-        rows = rows[:most_rows]
-    return ExecutionResult(True, rows, None, took, not rows, df.columns)
+    if len(rows) > most_rows and key is None:
+        return ExecutionResult(False, error=f"Query returned over {most_rows} rows without LIMIT; a join condition may be missing", execution_time=took)
+    return ExecutionResult(True, rows[:most_rows], None, took, not rows, df.columns, n_rows=n_rows, truncated=len(rows) > most_rows, key=key)
+
+
+def whole_key(df: DataFrame) -> tuple[int, str]:
+    """The number of rows of a result and a key that is the same for the same multiset of rows, from one aggregation over it."""
+    rows = canonical_rows(df, "cluster").select(*[F.xxhash64("row", F.lit(s)).cast("decimal(20,0)").alias(f"h{s}") for s in range(2)])
+    r = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("h0").alias("a"), F.sum("h1").alias("b")).head()
+    return r.n, f"{len(df.columns)}:{r.n}:{r.a}:{r.b}"
 
 
 # --- what went wrong -----------------------------------------------------------------------------------------------

@@ -5,10 +5,13 @@ Fields are rows ``(question_id, table, column)``; ``available`` has every field
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.functions.text import truncate
+from gristmill.functions.text import json_fields, truncate
+from gristmill.operators.ground import TextModel, ask
 
 FIELD = ["question_id", "table", "column"]
 CANDIDATES, FALLBACK, S1_CAP = 50, 15, 20
@@ -105,19 +108,99 @@ def cap_s2(s2: DataFrame, s1: DataFrame, candidates: DataFrame) -> DataFrame:
     return sized.where((F.col("extra") == 0) | (F.col("_n") <= F.least(F.col("n_s1") + S2_EXTRA, F.lit(S2_CAP)))).select(*FIELD)
 
 
+def _schema_row(available: DataFrame, keys: DataFrame, edges: DataFrame) -> DataFrame:
+    """The database as one row of arrays: its fields in order, its primary keys and its foreign keys. As large as a schema is."""
+    known = available.agg(F.array_sort(F.collect_list(F.struct("table", "ordinal", "column"))).alias("known"))
+    primary = keys.agg(F.collect_set(F.struct("table", "column")).alias("keys"))
+    foreign = edges.agg(F.collect_set(F.struct("from_table", "from_column", "to_table", "to_column")).alias("edges"))
+    return known.join(primary).join(foreign)
+
+
+def _field(table, column):
+    return F.struct(F.coalesce(table, F.lit("")).alias("table"), F.coalesce(column, F.lit("")).alias("column"))
+
+
+def _with_closure(rows: DataFrame, fields, into: str) -> DataFrame:
+    """``rows`` with a column of an array of fields, the primary keys of its tables, and their foreign keys with what these refer to in its tables.
+
+    Each array that a lambda asks for is a column of its own, as an expression inside a lambda would be evaluated for each element.
+    """
+    tables = F.array_distinct(F.transform(into, lambda x: x["table"]))
+    rows = rows.withColumn(into, fields).withColumn("_t", tables)
+    keyed = F.transform(F.filter("keys", lambda k: F.array_contains("_t", k["table"])), lambda k: _field(k["table"], k["column"]))
+    rows = rows.withColumn(into, F.array_union(into, keyed)).withColumn("_own", F.filter("edges", lambda e: F.array_contains("_t", e["from_table"])))
+    local = F.transform("_own", lambda e: _field(e["from_table"], e["from_column"]))
+    remote = F.transform(F.filter("_own", lambda e: F.array_contains("_t", e["to_table"])), lambda e: _field(e["to_table"], e["to_column"]))
+    return rows.withColumn(into, F.array_distinct(F.concat(into, local, remote))).drop("_t", "_own")
+
+
+def _in_order(fields):
+    """An array of fields, candidates by rank first, then the others by name."""
+    place = lambda x: F.array_position("candidates", x).cast("long")
+    keyed = F.transform(fields, lambda x: F.struct(F.coalesce(F.nullif(place(x), F.lit(0)), F.lit(1 << 40)).alias("place"), x["table"].alias("table"), x["column"].alias("column")))
+    return F.transform(F.array_sort(keyed), lambda x: _field(x["table"], x["column"]))
+
+
 def link(ranked: DataFrame, available: DataFrame, keys: DataFrame, edges: DataFrame, hints: DataFrame | None = None, chosen: DataFrame | None = None, promoted: DataFrame | None = None, wider: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """S1 and S2 of each question. ``chosen`` and ``wider`` are a model's selections; without them S1 is the first candidates and S2 is S1."""
-    candidates = candidate_fields(ranked, available, hints)
-    selected = known_fields(chosen, available) if chosen is not None else first_fields(candidates)
-    closed = with_foreign_keys(with_primary_keys(selected, keys), edges)
-    if promoted is not None:
-        closed = closed.union(known_fields(promoted, available)).distinct()
-    s1 = cap_s1(closed, candidates)
+    """S1 and S2 of each question. ``chosen`` and ``wider`` are a model's selections; without them S1 is the first candidates and S2 is S1.
+
+    What is known of a question is brought together once, as arrays of a few dozen fields, next to one row that holds the
+    schema; the rules above then are array expressions, and nothing is exchanged again.
+    """
+    parts = [ranked.where(F.col("rank") <= CANDIDATES).select("question_id", F.lit("ranked").alias("kind"), F.col("rank").cast("int").alias("rank"), "table", "column")]
+    if hints is not None:
+        parts.append(hints.select("question_id", F.lit("hint"), F.lit(0), F.lit(""), F.lower("hint")))
+    parts += [df.select("question_id", F.lit(kind), F.lit(0), "table", "column") for kind, df in (("chosen", chosen), ("promoted", promoted), ("wider", wider)) if df is not None]
+    rows = reduce(DataFrame.union, parts).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "table", "column", "kind"))).alias("rows"))
+    rows = rows.join(F.broadcast(_schema_row(available, keys, edges))).withColumn("fields", F.transform("known", lambda x: _field(x["table"], x["column"])))
+
+    def of(kind: str):
+        """The question's rows of a kind that are fields of the database, each once, in order of rank."""
+        return F.array_distinct(F.filter(F.transform(F.filter("rows", lambda x: x["kind"] == kind), lambda x: _field(x["table"], x["column"])), lambda x: F.array_contains("fields", x)))
+
+    rows = rows.withColumn("hinted", F.transform(F.filter("rows", lambda x: x["kind"] == "hint"), lambda x: x["column"]))
+    named = F.filter("fields", lambda x: F.array_contains("hinted", F.lower(x["column"])))
+    rows = rows.withColumn("candidates", of("ranked"))
+    rows = rows.withColumn("candidates", F.concat("candidates", F.array_except(named, "candidates"))) if hints is not None else rows
+    rows = _with_closure(rows, of("chosen") if chosen is not None else F.slice("candidates", 1, FALLBACK), "closed")
+    rows = rows.withColumn("closed", F.array_union("closed", of("promoted"))) if promoted is not None else rows
+    rows = rows.withColumn("s1", F.slice(_in_order(F.col("closed")), 1, S1_CAP))
+    s1 = rows.select("question_id", F.inline("s1"))
     if wider is None:
         return s1, s1
-    open_to = expansion_rule(s1, candidates).where("NOT skip").select("question_id")
-    more = with_foreign_keys(with_primary_keys(known_fields(wider.join(open_to, "question_id", "left_semi"), available).union(s1).distinct(), keys), edges)
-    return s1, cap_s2(more, s1, candidates)
+    left, n, n_s1 = F.size(F.array_except("candidates", "s1")), F.size("candidates"), F.size("s1")
+    skip = (n == 0) | (left < LEAST_LEFT) | (n_s1 / F.greatest(n, F.lit(1)) >= COVERAGE)
+    rows = rows.withColumn("added", F.when(skip, F.slice("fields", 1, 0)).otherwise(of("wider")))
+    rows = _with_closure(rows, F.array_union("added", "s1"), "more")
+    rows = rows.withColumn("more", F.when(F.size("added") > 0, F.array_except("more", "s1")).otherwise(F.slice("fields", 1, 0)))
+    room = F.greatest(F.least(n_s1 + S2_EXTRA, F.lit(S2_CAP)) - n_s1, F.lit(0))
+    return s1, rows.select("question_id", F.inline(F.concat("s1", F.slice(_in_order(F.col("more")), F.lit(1), room))))
+
+
+def field_prompt(wider: bool = False):
+    """What a model is told that selects fields: the question, an excerpt of its evidence, and the fields to choose from (``listed``)."""
+    task = "Which of these further fields might the answer need as well?" if wider else "Which of these fields does the answer need?"
+    return F.concat_ws("\n", F.concat(F.lit("Question: "), "question"), F.concat(F.lit("Evidence: "), evidence_excerpt(F.col("evidence"))), F.lit("Fields:"), F.array_join("listed", "\n"), F.lit(task + ' Answer with a JSON list of {"table": ..., "column": ...}.'))
+
+
+def ask_fields(questions: DataFrame, fields: DataFrame, summaries: DataFrame, model: TextModel, wider: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``question_id, table, column`` that a model selects for each question of ``fields`` (ranked), and the questions on which it fails."""
+    line = F.concat(F.lit("- "), F.concat_ws(".", "table", "column"), F.coalesce(F.concat(F.lit(": "), "short_summary"), F.lit("")))
+    lists = fields.join(summaries, ["table", "column"], "left").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("r"))
+    rows = questions.select("question_id", "question", "evidence").join(lists.select("question_id", F.transform("r", lambda x: x["line"]).alias("listed")), "question_id")
+    said = ask(rows, field_prompt(wider), model).persist()  # a model is asked once, though its answers are used in several places
+    chosen = said.where("answer IS NOT NULL").select("question_id", F.inline(json_fields(F.col("answer"))))
+    return chosen.where("table IS NOT NULL AND column IS NOT NULL"), said.where("answer IS NULL").select("question_id")
+
+
+def link_with(model: TextModel, questions: DataFrame, ranked: DataFrame, available: DataFrame, summaries: DataFrame, keys: DataFrame, edges: DataFrame, hints: DataFrame | None = None, promoted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """S1 and S2 by a model: asked for the fields that a question needs, then for more among the rest. Where it fails S1 is the first candidates, and S2 S1."""
+    candidates = candidate_fields(ranked, available, hints)
+    chosen, failed = ask_fields(questions, candidates, summaries, model)
+    chosen = chosen.union(first_fields(candidates).join(failed, "question_id", "left_semi").select(*FIELD))
+    s1, _ = link(ranked, available, keys, edges, hints, chosen, promoted)
+    wider, _ = ask_fields(questions, candidates.join(s1, FIELD, "left_anti"), summaries, model, wider=True)
+    return link(ranked, available, keys, edges, hints, chosen, promoted, wider)
 
 
 def sorted_fields(fields: DataFrame) -> DataFrame:

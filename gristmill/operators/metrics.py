@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.functions.text import sql_identifiers, sql_tables
+from gristmill.functions.text import clean_sql, sql_identifiers, sql_tables
 
 # Evaluations: question_id, db_id, difficulty, predicted_sql, correct, selection_method, winner_generator, cluster_count,
 # fix_count, latency_seconds, cost_estimate.
@@ -103,7 +103,7 @@ def required_tables(questions: DataFrame) -> DataFrame:
 
 def required_columns(questions: DataFrame, available: DataFrame) -> DataFrame:
     """``question_id, table, column``: names in a question's SQL that are columns of tables it names."""
-    names = questions.select("question_id", F.explode(F.array_distinct(F.transform(sql_identifiers(F.col("SQL")), F.lower))).alias("name"))
+    names = questions.select("question_id", F.explode(F.array_distinct(F.transform(sql_identifiers(clean_sql(F.col("SQL"))), F.lower))).alias("name"))
     columns = available.select(F.lower("table").alias("table"), F.lower("column").alias("column")).distinct()
     tables = required_tables(questions)
     return names.join(columns, names.name == columns.column).join(tables, ["question_id", "table"], "left_semi").select("question_id", "table", "column").distinct()

@@ -13,8 +13,7 @@ from gristmill.functions.affinity import NUMERIC, spark_affinity
 from gristmill.sources.catalog import Catalog
 
 TOP_VALUES = 10
-#: Columns of more distinct values have their signature from so many of them, the first in order of a hash.
-SIGNATURE_VALUES, PERMUTATIONS = 50_000, 128
+PERMUTATIONS = 128
 
 
 def as_text(name: str, kind: T.DataType) -> Column:
@@ -123,16 +122,17 @@ def signature(hashes: Column, permutations: int = PERMUTATIONS) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(permutations)), lambda s: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, s))))
 
 
-def column_signatures(catalog: Catalog, permutations: int = PERMUTATIONS, most: int = SIGNATURE_VALUES) -> DataFrame:
-    """``table, column, minhash`` over the 3-grams of each column's distinct values, minima combined before the shuffle.
+def column_signatures(catalog: Catalog, permutations: int = PERMUTATIONS) -> DataFrame:
+    """``table, column, minhash`` over the 3-grams of each column's values: all of them, by minima that combine before the shuffle.
 
-    A signature depends on the set of values only, so each value counts once. Of columns with more than ``most`` distinct
-    values those of least hash are taken, the same at every run.
+    A signature depends on the set of grams only, so a gram is hashed once for each column and task, not for each row.
     """
-    counts = reduce(DataFrame.unionByName, [value_counts(df, t) for t, df in catalog.tables.items()])
-    rank = F.row_number().over(Window.partitionBy("table", "column").orderBy(F.xxhash64("value"), "value"))
-    taken = counts.withColumn("rank", rank).where(F.col("rank") <= most)
-    grams = taken.select("table", "column", F.explode(shingles(F.col("value"))).alias("gram")).select("table", "column", F.xxhash64("gram").alias("h"))
+    parts = []
+    for t, df in catalog.tables.items():
+        cells = F.explode(F.array(*[F.struct(F.lit(f.name).alias("column"), as_text(f.name, f.dataType).alias("value")) for f in df.schema.fields])).alias("c")
+        parts.append(df.select(F.lit(t).alias("table"), cells).select("table", "c.column", "c.value").where("value IS NOT NULL"))
+    rows = reduce(DataFrame.unionByName, parts)
+    grams = rows.select("table", "column", F.explode(shingles(F.col("value"))).alias("gram")).distinct().select("table", "column", F.xxhash64("gram").alias("h"))
     minima = [F.min(F.xxhash64("h", F.lit(s))).alias(f"m{s}") for s in range(1, permutations + 1)]
     return grams.groupBy("table", "column").agg(*minima).select("table", "column", F.array(*[f"m{s}" for s in range(1, permutations + 1)]).alias("minhash"))
 

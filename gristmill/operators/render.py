@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -58,21 +58,27 @@ def summarize(profile: DataFrame, model: Callable[[list[str]], list[str]] | None
     return text.select("table", "column", F.substring("text", 1, SHORT).alias("short_summary"), F.substring("text", 1, LONG).alias("long_summary"))
 
 
-def _with_summaries(profile: DataFrame, summaries: DataFrame) -> DataFrame:
-    return profile.join(summaries, ["table", "column"], "left").withColumn("n_columns", F.count(F.lit(1)).over(Window.partitionBy("table")))
+def _with_summaries(profile: DataFrame, summaries: DataFrame, by: Sequence[str]) -> DataFrame:
+    return profile.join(summaries, ["table", "column"], "left").withColumn("n_columns", F.count(F.lit(1)).over(Window.partitionBy(*by, "table")))
 
 
-def ddl(profile: DataFrame, summaries: DataFrame, foreign_keys: DataFrame) -> DataFrame:
-    """``table, block``: a CREATE TABLE of each table with comments on columns, foreign keys and an example row."""
+def ddl(profile: DataFrame, summaries: DataFrame, foreign_keys: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``table, block``: a CREATE TABLE of each table with comments on columns, foreign keys and an example row.
+
+    ``by`` names columns of the profile that tell schemas apart, as of different questions; foreign keys are then those of columns shown.
+    """
     named = quote_name(F.col("column"))
     about = F.concat_ws(" | ", F.when(F.coalesce("long_summary", F.lit("")) != "", truncate(F.col("long_summary"), DDL_SUMMARY)), F.concat(F.lit("FK → "), F.col("foreign_key")))
     comma = F.when(F.col("ordinal") < F.col("n_columns") - 1, ",").otherwise("")
     line = F.concat(F.lit("  "), named, F.lit(" "), "affinity", F.when(F.col("is_primary_key"), " PRIMARY KEY").otherwise(""), comma, F.when(about != "", F.concat(F.lit("  -- "), about)).otherwise(""))
     sample = truncate(F.get("top_values", F.lit(0))["value"], DDL_SAMPLE)
     shown = F.coalesce(F.when(F.col("affinity").isin("TEXT", "BLOB"), F.concat(F.lit("'"), sample, F.lit("'"))).otherwise(sample), F.lit("NULL"))
-    rows = _with_summaries(profile, summaries).select("table", F.struct("ordinal", line.alias("line"), shown.alias("shown")).alias("c"))
-    tables = rows.groupBy("table").agg(F.array_sort(F.collect_list("c")).alias("cs"))
-    refs = foreign_keys.groupBy(F.col("from_table").alias("table")).agg(F.array_join(F.array_sort(F.collect_list(F.format_string("%s REFERENCES %s(%s)", "from_column", "to_table", "to_column"))), ", ").alias("refs"))
+    rows = _with_summaries(profile, summaries, by).select(*by, "table", F.struct("ordinal", line.alias("line"), shown.alias("shown")).alias("c"))
+    tables = rows.groupBy(*by, "table").agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    edges = foreign_keys.withColumnRenamed("from_table", "table")
+    if by:
+        edges = edges.join(profile.select(*by, "table", F.col("column").alias("from_column")), ["table", "from_column"])
+    refs = edges.groupBy(*by, "table").agg(F.array_join(F.array_sort(F.collect_list(F.format_string("%s REFERENCES %s(%s)", "from_column", "to_table", "to_column"))), ", ").alias("refs"))
     block = F.concat_ws(
         "\n",
         F.concat(F.lit("-- Table: "), "table"),
@@ -82,32 +88,32 @@ def ddl(profile: DataFrame, summaries: DataFrame, foreign_keys: DataFrame) -> Da
         F.concat(F.lit("-- Foreign keys: "), "refs"),
         F.concat(F.lit("-- Example row: ("), F.array_join(F.transform("cs", lambda c: c["shown"]), ", "), F.lit(")")),
     )
-    return tables.join(refs, "table", "left").select("table", block.alias("block"))
+    return tables.join(refs, [*by, "table"], "left").select(*by, "table", block.alias("block"))
 
 
-def markdown(profile: DataFrame, summaries: DataFrame) -> DataFrame:
-    """``table, block``: a pipe table of each table's columns with types, descriptions and sample values."""
+def markdown(profile: DataFrame, summaries: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``table, block``: a pipe table of each table's columns with types, descriptions and sample values; ``by`` as for ``ddl``."""
     short = F.btrim(F.coalesce("short_summary", F.lit("")))
     pipe = lambda c: F.replace(c, F.lit("|"), F.lit("\\|"))
     kind = F.concat(F.col("affinity"), F.when(F.col("is_primary_key"), " (PK)").otherwise(""), F.coalesce(F.concat(F.lit(" (FK→"), "foreign_key", F.lit(")")), F.lit("")))
     samples = F.array_join(F.transform(F.slice("top_values", 1, MARKDOWN_SAMPLES), lambda x: truncate(x["value"], MARKDOWN_SAMPLE)), ", ")
     line = F.format_string("| %s | %s | %s | %s |", pipe(F.col("column")), kind, pipe(F.when(short != "", F.col("short_summary")).otherwise(F.col("column"))), pipe(samples))
-    rows = _with_summaries(profile, summaries).select("table", F.struct("ordinal", line.alias("line"), F.when(short != "", short).alias("about")).alias("c"))
-    tables = rows.groupBy("table").agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    rows = _with_summaries(profile, summaries, by).select(*by, "table", F.struct("ordinal", line.alias("line"), F.when(short != "", short).alias("about")).alias("c"))
+    tables = rows.groupBy(*by, "table").agg(F.array_sort(F.collect_list("c")).alias("cs"))
     about = F.coalesce(F.get(F.filter(F.transform("cs", lambda c: c["about"]), lambda s: s.isNotNull()), F.lit(0)), F.format_string("Data from %s table.", "table"))
     block = F.concat_ws("\n", F.concat(F.lit("## Table: "), "table"), F.concat(F.lit("*"), about, F.lit("*")), F.lit(""), F.lit("| Column | Type | Description | Sample Values |"), F.lit("|--------|------|-------------|---------------|"), F.array_join(F.transform("cs", lambda c: c["line"]), "\n"))
-    return tables.select("table", block.alias("block"))
+    return tables.select(*by, "table", block.alias("block"))
 
 
-def whole_schema(blocks: DataFrame) -> DataFrame:
-    """All blocks in order of the tables' names, a blank line between them, as one text."""
-    return blocks.agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("table", "block"))), lambda x: x["block"]), "\n\n"), F.lit("\n")).alias("schema"))
+def whole_schema(blocks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """All blocks in order of the tables' names, a blank line between them, as one text (one for each value of ``by``)."""
+    return blocks.groupBy(*by).agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("table", "block"))), lambda x: x["block"]), "\n\n"), F.lit("\n")).alias("schema"))
 
 
-def subset(profile: DataFrame, fields: DataFrame) -> DataFrame:
+def subset(profile: DataFrame, fields: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The profile's rows of the given fields, their ordinals counted anew within each table, in the order of the schema."""
-    kept = profile.join(fields.select("table", "column").distinct(), ["table", "column"], "left_semi")
-    return kept.withColumn("ordinal", (F.row_number().over(Window.partitionBy("table").orderBy("ordinal")) - 1))
+    kept = profile.join(fields.select(*by, "table", "column").distinct(), ["table", "column"])
+    return kept.withColumn("ordinal", (F.row_number().over(Window.partitionBy(*by, "table").orderBy("ordinal")) - 1))
 
 
 def parse_ddl(schemas: DataFrame, text_col: str = "schema") -> DataFrame:

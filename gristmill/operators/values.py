@@ -11,24 +11,29 @@ from gristmill.functions.affinity import spark_affinity
 from gristmill.operators.profile import shingles, signature, value_counts
 from gristmill.sources.catalog import Catalog
 
-#: Affinities whose values nobody searches by text, and distinct values from which a column is left out whole.
-SKIPPED, MOST_DISTINCT = ("INTEGER", "REAL"), 50_000
+#: Affinities whose values nobody searches by text.
+SKIPPED = ("INTEGER", "REAL")
 TOP_K = 5
 #: Bands and rows of a band that give most pairs of similarity 0.3 or more, of 128 permutations.
 BANDS, ROWS = 37, 3
 
 
-def cell_values(catalog: Catalog, most_distinct: int = MOST_DISTINCT) -> DataFrame:
-    """``table, column, value``: distinct, trimmed, non-empty values of the columns that are searched by text."""
+def cell_values(catalog: Catalog, most_distinct: int | None = None) -> DataFrame:
+    """``table, column, value``: distinct, trimmed, non-empty values of the columns that are searched by text.
+
+    All of them, unless ``most_distinct`` leaves out whole columns of more distinct values. No such column gives no rows.
+    """
     parts = []
     for table, df in catalog.tables.items():
         names = [f.name for f in df.schema.fields if spark_affinity(f.dataType) not in SKIPPED]
         if names:
             counts = value_counts(df, table, names)
-            wide = counts.groupBy("column").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_distinct).select("column")
-            trimmed = counts.join(wide, "column", "left_anti").select("table", "column", F.btrim("value").alias("value"))
+            if most_distinct is not None:
+                wide = counts.groupBy("column").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_distinct).select("column")
+                counts = counts.join(wide, "column", "left_anti")
+            trimmed = counts.select("table", "column", F.btrim("value").alias("value"))
             parts.append(trimmed.where("value <> ''").distinct())
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts) if parts else catalog.spark.createDataFrame([], "table string, column string, value string")
 
 
 def index_values(values: DataFrame) -> DataFrame:

@@ -1,8 +1,7 @@
-"""Vector search: exact top-k by cosine in blocks of queries, a partitioned index, and hashed embeddings of text."""
+"""Vector search: exact top-k by cosine in pairs of blocks, a partitioned index, and hashed embeddings of text."""
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Queries compared with the whole table in one pass.
+#: Rows of a block of vectors, on either side.
 BLOCK = 4096
 TOP_K = 30
 SIZE = 384
@@ -44,62 +43,85 @@ def fast_matrix(column: pa.Array, size: int) -> np.ndarray:
     return matrix(column, size)
 
 
-def _blocks(queries: DataFrame, id_col: str, vector_col: str, group_col: str | None, block: int) -> Iterator[tuple[list, np.ndarray, list]]:
-    rows: list = []
-    for r in queries.select(F.col(id_col), F.col(vector_col), F.col(group_col) if group_col else F.lit(None)).toLocalIterator():
-        rows.append(r)
-        if len(rows) == block:
-            yield [x[0] for x in rows], matrix(pa.array([x[1] for x in rows])), [x[2] for x in rows]
-            rows = []
-    if rows:
-        yield [x[0] for x in rows], matrix(pa.array([x[1] for x in rows])), [x[2] for x in rows]
+def _packed(rows: DataFrame, id_col: str, vector_col: str, group_col: str | None, size: int, block: int) -> DataFrame:
+    """``spot, ids, unit, groups``: rows packed into blocks where they lie, unit vectors one after the other as doubles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def blocks(most: int) -> Iterator[pa.RecordBatch]:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            for a in range(0, whole.num_rows - most + 1 if most > 1 else whole.num_rows, block):
+                part = whole.slice(a, block)
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                unit = normalise(fast_matrix(part.column(1), size)).astype("<f8")
+                columns = [pa.array([int(ids[0])]), pa.array([ids]), pa.array([unit.tobytes()], type=pa.binary()), pa.array([part.column(2).to_pylist()], type=pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["spot", "ids", "unit", "groups"])
+            held[:] = [whole.slice(whole.num_rows - whole.num_rows % block)] if most > 1 else []
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= block:
+                yield from blocks(block)
+        if sum(b.num_rows for b in held):
+            yield from blocks(1)
+
+    group = F.col(group_col).cast("string") if group_col else F.lit(None).cast("string")
+    kept = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(vector_col), group)
+    return kept.mapInArrow(run, "spot long, ids array<long>, unit binary, groups array<string>")
+
+
+def _best(cosine: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of a table of cosines the columns of the ``k`` highest finite ones, of equal ones those of the least ids."""
+    found = np.isfinite(cosine)
+    if cosine.shape[1] > k:
+        found &= cosine >= np.partition(cosine, cosine.shape[1] - k, axis=1)[:, -k][:, None]
+    q, v = np.nonzero(found)
+    order = np.lexsort((ids[v], -cosine[q, v], q))
+    q, v = q[order], v[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    return q[place < k], v[place < k]
 
 
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, id_col: str = "vec_id", vector_col: str = "embedding", exclude_same: str | None = None, exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
     """``query_id, <id>, similarity_score, rank``: the ``k`` rows of ``vectors`` of highest cosine for each query.
 
-    Queries come in blocks of bounded size, each compared with all rows where they lie; every batch keeps its own k best,
-    so k rows per query and batch are shuffled. The score is clipped to [0, 1]; ranks go by the unclipped cosine, then
+    Both sides are packed into blocks of bounded size where they lie. Blocks of vectors are dealt to as many groups as the session
+    has shuffle partitions, each block of queries goes to every group, and a pair of blocks is one product of matrices that
+    leaves ``k`` rows for each query; nothing passes through the driver. The score is clipped to [0, 1]; ranks go by the unclipped cosine, then
     the id. Rows of the query's own ``exclude_same`` value do not count. Zero vectors have cosine 0.
     """
-    out = None
-    for ids, block_vectors, groups in _blocks(queries, id_col, vector_col, exclude_same, block):
-        found = _block_topk(ids, normalise(block_vectors), groups, vectors, k, id_col, vector_col, exclude_same, exclude_self)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], f"query_id long, {id_col} long, similarity_score double, rank int")
-    order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), id_col)
-    ranked = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", id_col, F.greatest(F.lit(0.0), F.least(F.lit(1.0), "cosine")).alias("similarity_score"), "rank")
-
-
-def _block_topk(ids, block_vectors, groups, vectors, k, id_col, vector_col, exclude_same, exclude_self) -> DataFrame:
-    size = block_vectors.shape[1]
-    own = np.array(ids, dtype=np.int64)
+    spark = vectors.sparkSession
+    first = vectors.where(F.col(vector_col).isNotNull()).select(F.size(vector_col)).head()
+    size = max(1, first[0]) if first else 1  # vectors of another size are cut or filled with zeros
+    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = _packed(queries, id_col, vector_col, exclude_same, size, block).select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.struct("ids", "unit", "groups").alias("q"))
+    held = _packed(vectors, id_col, vector_col, exclude_same, size, block).select(F.pmod(F.xxhash64("spot"), F.lit(groups)).cast("int").alias("at"), F.struct("ids", "unit", "groups").alias("v"))
+    pairs = asked.join(held.hint("shuffle_hash"), asked.g == held.at).select("q", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def side(column: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            s = column[i]
+            ids = s["ids"].values.to_numpy(zero_copy_only=False)
+            return ids, np.frombuffer(s["unit"].as_buffer(), dtype="<f8").reshape(len(ids), size), np.array(s["groups"].as_py(), dtype=object)
+
         for batch in batches:
-            for start in range(0, batch.num_rows, 2048):
-                part = batch.slice(start, 2048)
-                if not part.num_rows:
-                    continue
-                other = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                cosine = block_vectors @ normalise(fast_matrix(part.column(1), size)).T
-                if exclude_self:
-                    cosine[own[:, None] == other[None, :]] = -np.inf
-                if exclude_same:
-                    mine, theirs = np.array(groups, dtype=object), np.array(part.column(2).to_pylist(), dtype=object)
-                    cosine[mine[:, None] == theirs[None, :]] = -np.inf
-                # Ties at the k-th place all stay: the id decides later.
-                if cosine.shape[1] > k:
-                    floor = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, -k][:, None]
-                    q, v = np.nonzero((cosine >= floor) & np.isfinite(cosine))
-                else:
-                    q, v = np.nonzero(np.isfinite(cosine))
-                yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(other[v]), pa.array(cosine[q, v])], names=["query_id", id_col, "cosine"])
-
-    columns = [F.col(id_col).cast("long").alias(id_col), F.col(vector_col).alias("_v"), *([F.col(exclude_same)] if exclude_same else [])]
-    return vectors.where(F.col(id_col).isNotNull()).select(*columns).mapInArrow(run, f"query_id long, {id_col} long, cosine double")
+            for i in range(batch.num_rows):
+                own, left, mine = side(batch.column(0), i)
+                other, right, theirs = side(batch.column(1), i)
+                for a in range(0, len(own), 512):
+                    cosine = left[a : a + 512] @ right.T
+                    if exclude_self:
+                        cosine[own[a : a + 512, None] == other[None, :]] = -np.inf
+                    if exclude_same:
+                        cosine[mine[a : a + 512, None] == theirs[None, :]] = -np.inf
+                    q, v = _best(cosine, other, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[a + q]), pa.array(other[v]), pa.array(cosine[q, v])], names=["query_id", id_col, "cosine"])
+
+    found = pairs.mapInArrow(run, f"query_id long, {id_col} long, cosine double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), id_col)
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", id_col, F.greatest(F.lit(0.0), F.least(F.lit(1.0), "cosine")).alias("similarity_score"), "rank")
 
 
 def promoted(matches: DataFrame, least: float = 0.8, k: int = 3) -> DataFrame:
@@ -167,22 +189,57 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
 
 
-def embed_texts(rows: DataFrame, text_col: str, into: str = "embedding", size: int = SIZE) -> DataFrame:
-    """``rows`` with an offline stand-in for a sentence model: signed hashes of words and 3-grams, of length one."""
-
-    def vector(text: str | None) -> np.ndarray:
-        out = np.zeros(size)
-        for word in "".join(c if c.isalnum() else " " for c in (text or "").lower()).split():
-            for token in (word, *(f"#{word[i : i + 3]}" for i in range(max(1, len(word) - 2)))):
-                h = zlib.crc32(token.encode())
-                out[h % size] += 1.0 if (h >> 16) % 2 == 0 else -1.0
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_IN_WORD = np.zeros(256, dtype=bool)
+_IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def _scattered(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def embedded(column: pa.Array, size: int = SIZE) -> np.ndarray:
+    """Signed hashes of each text's words and their 3-grams, of length one; words are runs of letters, digits and bytes beyond ASCII."""
+    texts = column.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]] if len(texts) else np.zeros(0, np.uint8)
+    out = np.zeros((len(texts), size))
+    if not len(data):
         return out
+    offsets = offsets - offsets[0]
+    inside = np.concatenate((_IN_WORD[data], [False]))
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[offsets] = True
+    goes_on = inside[1:] & ~edge[1:]  # whether the next byte is of the same word
+    letter = _LOWER[data].astype(np.uint64) + np.uint64(1)
+    starts = np.flatnonzero(inside[:-1] & np.concatenate(([True], ~(inside[:-2] & goes_on[:-1]))))
+    ends = np.flatnonzero(inside[:-1] & ~goes_on) + 1
+    at = np.arange(len(data)) - np.repeat(starts, ends - starts)[np.cumsum(inside[:-1]) - 1] if len(starts) else np.zeros(len(data), np.int64)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(np.where(inside[:-1], _scattered(letter + (at.astype(np.uint64) << np.uint64(9))), np.uint64(0)))))
+    word = total[ends] - total[starts]
+    step = np.concatenate((goes_on, [False, False]))
+    two, three = step[: len(data)], step[: len(data)] & step[1 : len(data) + 1]
+    padded = np.concatenate((letter, np.zeros(2, np.uint64)))
+    gram = letter + (np.where(two, padded[1 : len(data) + 1], 0).astype(np.uint64) << np.uint64(16)) + (np.where(three, padded[2 : len(data) + 2], 0).astype(np.uint64) << np.uint64(32))
+    whole = np.zeros(len(data), dtype=bool)
+    whole[starts] = ends - starts < 3  # a short word is its own gram
+    of_gram = np.flatnonzero(inside[:-1] & (three | whole))
+    hashes = np.concatenate((_scattered(word), _scattered(gram[of_gram] + np.uint64(1 << 60))))
+    row = np.searchsorted(offsets, np.concatenate((starts, of_gram)), side="right") - 1
+    np.add.at(out, (row, (hashes % np.uint64(size)).astype(np.int64)), np.where(hashes >> np.uint64(63), -1.0, 1.0))
+    return normalise(out)
+
+
+def embed_texts(rows: DataFrame, text_col: str, into: str = "embedding", size: int = SIZE) -> DataFrame:
+    """``rows`` with an offline stand-in for a sentence model (``embedded``); a null or empty text has a zero vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            unit = normalise(np.stack([vector(t) for t in texts])) if texts else np.zeros((0, size))
-            lists = pa.array(unit.astype(np.float32).tolist(), type=pa.list_(pa.float32()))
+            unit = embedded(batch.column(batch.schema.get_field_index(text_col)), size).astype(np.float32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * size), pa.array(unit.reshape(-1)))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, into])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(into, T.ArrayType(T.FloatType()))]))

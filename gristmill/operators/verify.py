@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from decimal import Decimal
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,8 +60,8 @@ class Outcome:
         return self.test_type in CRITICAL
 
 
-def _numeric(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType | T.BooleanType)]
+def _numeric(df: DataFrame) -> list[int]:
+    return [i for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, T.NumericType | T.BooleanType)]
 
 
 def _at(df: DataFrame, i: int) -> Column:
@@ -80,12 +82,17 @@ def exact_duplicates(df: DataFrame) -> DataFrame:
 
 def scale_violations(df: DataFrame, minimum: float | None, maximum: float | None) -> DataFrame:
     """``n_violations``: numbers of a result outside the bounds."""
+    return df.agg(F.coalesce(F.sum(_violations(df, minimum, maximum)), F.lit(0)).alias("n_violations"))
+
+
+def _violations(df: DataFrame, minimum: float | None, maximum: float | None) -> Column:
+    """How many numbers of a row are outside the bounds."""
     out = F.lit(0).cast("long")
-    for name in _numeric(df):
-        x = df[name].cast("double")
+    for i in _numeric(df):
+        x = _at(df, i).cast("double")
         beyond = (x < minimum if minimum is not None else F.lit(False)) | (x > maximum if maximum is not None else F.lit(False))
         out = out + F.coalesce(beyond, F.lit(False)).cast("long")
-    return df.agg(F.coalesce(F.sum(out), F.lit(0)).alias("n_violations"))
+    return out
 
 
 def grain_bounds(n_rows: Column, lower: Column, upper: Column) -> Column:
@@ -133,18 +140,44 @@ def adjustment(tests: DataFrame, keys: list[str]) -> DataFrame:
     return tests.groupBy(*keys).agg((cost + F.when(none_failed & passed, BONUS).otherwise(0.0)).alias("adjustment"), F.bool_and(~failed).alias("all_pass"))
 
 
+class Facts:
+    """What the tests of one result ask of it, each found once and of the whole result."""
+
+    def __init__(self, df: DataFrame, specs: list[Spec]):
+        self.df, self._specs = df, specs
+
+    @cached_property
+    def counts(self) -> Row:
+        """``n_rows, n_cells, n_nulls`` and the violations ``v0, v1, ...`` of each test of scale, from one aggregation."""
+        df = self.df
+        nulls = sum((_at(df, i).isNull().cast("long") for i in range(len(df.columns))), F.lit(0).cast("long"))
+        beyond = [F.coalesce(F.sum(_violations(df, s.minimum, s.maximum)), F.lit(0)).alias(f"v{i}") for i, s in enumerate(self._specs) if s.test_type == "scale"]
+        return df.agg(F.count(F.lit(1)).alias("n_rows"), (F.count(F.lit(1)) * len(df.columns)).alias("n_cells"), F.coalesce(F.sum(nulls), F.lit(0)).alias("n_nulls"), *beyond).head()
+
+    @cached_property
+    def distinct(self) -> Row:
+        return exact_duplicates(self.df).head()
+
+    def violations(self, spec: Spec) -> int:
+        return self.counts[f"v{next(i for i, s in enumerate(self._specs) if s is spec)}"]
+
+
 class Verifier:
-    """Runs the tests of a plan on one query's result. Whatever fails inside a test is that test's error."""
+    """Runs the tests of a plan on one query's whole result. Whatever fails inside a test is that test's error.
+
+    ``judge``, a text model, is asked whether a query bounds its dates where its text does not show it; its failure is the test's error.
+    """
 
-    def __init__(self, spark: SparkSession, most_rows: int = 10_000):
-        self.spark, self.most_rows = spark, most_rows
+    def __init__(self, spark: SparkSession, judge: Callable[[str], str] | None = None):
+        self.spark, self.judge = spark, judge
 
     def evaluate(self, sql: str, specs: list[Spec]) -> list[Outcome]:
-        out = []
+        """The outcome of each test; the result is read once for all counts, and once more if duplicates are asked for."""
+        out, facts = [], None
         for spec in specs:
             try:
-                df = self.spark.sql(sql).limit(self.most_rows)
-                out.append(Outcome(spec.test_type, *getattr(self, f"_{spec.test_type}")(sql, df, spec)))
+                facts = facts or Facts(self.spark.sql(sql), specs)
+                out.append(Outcome(spec.test_type, *getattr(self, f"_{spec.test_type}")(sql, facts, spec)))
             except Exception as e:  # a test that cannot run says so
                 out.append(Outcome(spec.test_type, "error", str(e)[:200]))
         return out
@@ -156,10 +189,10 @@ class Verifier:
         row = self.spark.sql(sql).head()
         return float(row[0]) if row and isinstance(row[0], NUMBER) else None
 
-    def _grain(self, sql: str, df: DataFrame, spec: Spec) -> tuple[str, str]:
+    def _grain(self, sql: str, facts: Facts, spec: Spec) -> tuple[str, str]:
         if spec.confidence == "none":
             return "skip", "no bound is known"
-        lower, n = max(1 if spec.lower is None else spec.lower, 0), df.count()
+        lower, n = max(1 if spec.lower is None else spec.lower, 0), facts.counts.n_rows
         upper = self._number(spec.upper_sql)
         if upper == 0 and lower > 0:
             upper = None
@@ -169,19 +202,20 @@ class Verifier:
             upper = spec.upper
         if n < lower or (upper is not None and n > upper):
             return "fail", f"{n} rows, not {lower} to {upper}"
-        if n and spec.expected_columns is not None and len(df.columns) != spec.expected_columns:
-            return "fail", f"{len(df.columns)} columns, not {spec.expected_columns}"
+        columns = len(facts.df.columns)
+        if n and spec.expected_columns is not None and columns != spec.expected_columns:
+            return "fail", f"{columns} columns, not {spec.expected_columns}"
         return "pass", ""
 
-    def _null(self, sql: str, df: DataFrame, spec: Spec) -> tuple[str, str]:
-        r = null_cells(df).head()
+    def _null(self, sql: str, facts: Facts, spec: Spec) -> tuple[str, str]:
+        r = facts.counts
         if not r.n_rows:
             return "skip", "no rows"
         bad = r.n_nulls > NULL_SHARE * r.n_cells if spec.check_columns else r.n_nulls > 0
         return ("fail", f"{r.n_nulls} of {r.n_cells} cells are null") if bad else ("pass", "")
 
-    def _duplicate(self, sql: str, df: DataFrame, spec: Spec) -> tuple[str, str]:
-        r = exact_duplicates(df).head()
+    def _duplicate(self, sql: str, facts: Facts, spec: Spec) -> tuple[str, str]:
+        r = facts.distinct
         if not r.n_rows:
             return "skip", "no rows"
         expected = self._number(spec.expected_sql)
@@ -189,24 +223,24 @@ class Verifier:
             return ("fail", f"{r.n_rows} rows for {expected}") if r.n_rows / expected >= DUPLICATE_RATIO else ("pass", "")
         return ("fail", f"{r.n_rows - r.n_distinct} repeated rows") if r.n_distinct < r.n_rows else ("pass", "")
 
-    def _ordering(self, sql: str, df: DataFrame, spec: Spec) -> tuple[str, str]:
+    def _ordering(self, sql: str, facts: Facts, spec: Spec) -> tuple[str, str]:
         row = self.spark.createDataFrame([(sql, spec.keywords, spec.order_limit)], "s string, k array<string>, n int")
         return row.select(ordering_status(F.col("s"), F.col("k"), F.col("n"))).head()[0], ""
 
-    def _scale(self, sql: str, df: DataFrame, spec: Spec) -> tuple[str, str]:
-        if (spec.minimum is None and spec.maximum is None) or df.isEmpty():
+    def _scale(self, sql: str, facts: Facts, spec: Spec) -> tuple[str, str]:
+        if (spec.minimum is None and spec.maximum is None) or not facts.counts.n_rows:
             return "skip", "no bounds or no rows"
-        n = scale_violations(df, spec.minimum, spec.maximum).head()[0]
+        n = facts.violations(spec)
         return ("fail", f"{n} numbers out of bounds") if n else ("pass", "")
 
-    def _column_alignment(self, sql: str, df: DataFrame, spec: Spec) -> tuple[str, str]:
-        if spec.expected_columns is None or spec.confidence == "low" or df.isEmpty():
+    def _column_alignment(self, sql: str, facts: Facts, spec: Spec) -> tuple[str, str]:
+        if spec.expected_columns is None or spec.confidence == "low" or not facts.counts.n_rows:
             return "skip", "no number of columns is known"
-        n = len(df.columns)
+        n = len(facts.df.columns)
         return ("pass", "") if n == spec.expected_columns else ("fail", f"{n} columns, not {spec.expected_columns}")
 
-    def _symmetry(self, sql: str, df: DataFrame, spec: Spec) -> tuple[str, str]:
-        row = df.head()
+    def _symmetry(self, sql: str, facts: Facts, spec: Spec) -> tuple[str, str]:
+        row = facts.df.head()
         mine = next((float(x) for x in row or () if isinstance(x, NUMBER)), None)
         other_row = self.spark.sql(spec.other_sql).head() if spec.other_sql and is_safe_verification_sql(spec.other_sql) else None
         other = next((float(x) for x in other_row or () if isinstance(x, NUMBER)), None)
@@ -215,6 +249,11 @@ class Verifier:
         ok = abs(mine - other) <= max(abs(mine) * SYMMETRY_SHARE, SYMMETRY_LEAST)
         return ("pass", "") if ok else ("fail", f"{mine} is not {other}")
 
-    def _boundary(self, sql: str, df: DataFrame, spec: Spec) -> tuple[str, str]:
+    def _boundary(self, sql: str, facts: Facts, spec: Spec) -> tuple[str, str]:
         row = self.spark.createDataFrame([(sql,)], "s string")
-        return ("pass", "") if row.select(has_date_bound(F.col("s"))).head()[0] else ("skip", "no model to judge it")
+        if row.select(has_date_bound(F.col("s"))).head()[0]:
+            return "pass", ""
+        if self.judge is None:
+            return "skip", "no model to judge it"
+        said = self.judge(f"Does this query bound the dates that its question names? Answer pass or fail, then why.\n{sql}").strip().lower()
+        return ("pass", "") if said.startswith("pass") else ("fail", said[:200])

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Each table is one SQL text that Spark and DuckDB both read, so that a query and its oracle start from the same rows.
+# Each table is one SQL text over whole tables that Spark and DuckDB both read, so that a query and its oracle start from the same rows.
 
 CANDIDATES = """
-SELECT CAST(c_custkey % 40 AS INT) AS question_id, CAST(c_custkey AS INT) AS pos,
+SELECT CAST(floor(c_custkey / 11) AS INT) AS question_id, CAST(c_custkey AS INT) AS pos,
        CASE c_custkey % 5 WHEN 0 THEN 'reasoning_A1' WHEN 1 THEN 'complex_B2_s1' WHEN 2 THEN 'icl_C1' WHEN 3 THEN 'standard_B1_s1' ELSE 'reasoning_A3' END AS generator_id,
        CASE WHEN c_custkey % 3 = 0 THEN concat('SELECT COUNT(*) FROM ', c_mktsegment) ELSE concat('SELECT ', c_name, ' FROM ', c_mktsegment) END AS sql,
        c_custkey % 7 <> 3 AS success, c_custkey % 11 = 5 AS is_empty,
@@ -16,7 +16,7 @@ SELECT CAST(c_custkey % 40 AS INT) AS question_id, CAST(c_custkey AS INT) AS pos
        CAST(c_custkey % 4 AS INT) AS n_fixes, CAST(CASE c_custkey % 6 WHEN 0 THEN 0.25 WHEN 1 THEN -0.5 ELSE 0.0 END AS DOUBLE) AS adjustment,
        concat('r', c_mktsegment) AS result_key,
        c_custkey % 9 < 4 AS match_pre, c_custkey % 9 < 5 AS match_post, c_custkey % 13 = 0 AS selected
-FROM customer WHERE c_custkey < 400
+FROM customer
 """
 
 EVALUATIONS = """

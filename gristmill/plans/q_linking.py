@@ -73,18 +73,18 @@ def linked_schemas(spark, sf_dir):
 
 
 def schema_recall(spark, sf_dir):
-    asked = fixtures.fixture(spark, sf_dir, "questions").where("question_id < 25")
+    asked = fixtures.fixture(spark, sf_dir, "questions")
     required = metrics.required_columns(asked, _available(spark, sf_dir))
     return metrics.schema_recall(required, _top(spark, sf_dir, 20))
 
 
 def table_recall(spark, sf_dir):
-    asked = fixtures.fixture(spark, sf_dir, "questions").where("question_id < 25")
+    asked = fixtures.fixture(spark, sf_dir, "questions")
     return metrics.table_recall(metrics.required_tables(asked), _top(spark, sf_dir, 8))
 
 
 def required_columns(spark, sf_dir):
-    asked = fixtures.fixture(spark, sf_dir, "questions").where("question_id < 25")
+    asked = fixtures.fixture(spark, sf_dir, "questions")
     return metrics.required_columns(asked, _available(spark, sf_dir))
 
 
@@ -118,7 +118,7 @@ ORACLES = {
 cand AS (SELECT question_id, t, c, rank FROM r WHERE rank <= 50 UNION ALL SELECT * FROM m), {_closed("cand WHERE rank <= 15")},
 o AS (SELECT fk.*, row_number() OVER (PARTITION BY question_id ORDER BY cand.rank NULLS LAST, t, c) AS n FROM fk LEFT JOIN cand USING (question_id, t, c))
 SELECT question_id, string_agg(t || '.' || c, ' ' ORDER BY t, c) AS fields FROM o WHERE n <= 20 GROUP BY question_id""",
-    "required_columns": "SELECT question_id, t AS \"table\", c AS \"column\" FROM (VALUES ('customer', 'c_custkey'), ('customer', 'c_mktsegment'), ('customer', 'c_name'), ('orders', 'o_custkey')) AS v(t, c), (SELECT CAST(c_custkey AS INT) AS question_id FROM customer WHERE c_custkey < 25)",
-    "table_recall": f"{_BASE}, f AS (SELECT question_id, count(DISTINCT t) FILTER (WHERE t IN ('customer', 'orders')) AS n_found FROM r WHERE rank <= 8 GROUP BY question_id) SELECT CAST(question_id AS INT) AS question_id, 2::BIGINT AS n_required, n_found, round(n_found / 2.0::DOUBLE, 3) AS recall, n_found = 2 AS complete FROM f",
-    "schema_recall": f"{_BASE}, need(c) AS (VALUES ('c_custkey'), ('c_mktsegment'), ('c_name'), ('o_custkey')), f AS (SELECT question_id, count(*) AS n_found FROM r JOIN need USING (c) WHERE rank <= 20 GROUP BY question_id) SELECT CAST(c_custkey AS INT) AS question_id, 4::BIGINT AS n_required, coalesce(n_found, 0)::BIGINT AS n_found, round(coalesce(n_found, 0) / 4.0::DOUBLE, 3) AS recall, coalesce(n_found, 0) = 4 AS complete FROM customer LEFT JOIN f ON question_id = c_custkey WHERE c_custkey < 25",
+    "required_columns": "SELECT question_id, t AS \"table\", c AS \"column\" FROM (VALUES ('customer', 'c_custkey'), ('customer', 'c_mktsegment'), ('customer', 'c_name'), ('orders', 'o_custkey')) AS v(t, c), (SELECT CAST(c_custkey AS INT) AS question_id FROM customer)",
+    "table_recall": f"{_BASE}, f AS (SELECT question_id, count(DISTINCT t) FILTER (WHERE t IN ('customer', 'orders')) AS n_found FROM r WHERE rank <= 8 GROUP BY question_id) SELECT CAST(c_custkey AS INT) AS question_id, 2::BIGINT AS n_required, coalesce(n_found, 0)::BIGINT AS n_found, round(coalesce(n_found, 0) / 2.0::DOUBLE, 3) AS recall, coalesce(n_found, 0) = 2 AS complete FROM customer LEFT JOIN f ON question_id = c_custkey",
+    "schema_recall": f"{_BASE}, need(c) AS (VALUES ('c_custkey'), ('c_mktsegment'), ('c_name'), ('o_custkey')), f AS (SELECT question_id, count(*) AS n_found FROM r JOIN need USING (c) WHERE rank <= 20 GROUP BY question_id) SELECT CAST(c_custkey AS INT) AS question_id, 4::BIGINT AS n_required, coalesce(n_found, 0)::BIGINT AS n_found, round(coalesce(n_found, 0) / 4.0::DOUBLE, 3) AS recall, coalesce(n_found, 0) = 4 AS complete FROM customer LEFT JOIN f ON question_id = c_custkey",
 }

@@ -27,7 +27,7 @@ def index_entry_counts(spark, sf_dir):
 
 
 def shingle_sets(spark, sf_dir):
-    return _values(spark, sf_dir).where("table IN ('nation', 'region')").select("value", F.array_join(F.array_sort("grams"), "~").alias("grams"), F.size("grams").cast("long").alias("n_grams"))
+    return _values(spark, sf_dir).select("table", "column", "value", F.array_join(F.array_sort("grams"), "~").alias("grams"), F.size("grams").cast("long").alias("n_grams"))
 
 
 def jaccard_topk(spark, sf_dir):
@@ -143,8 +143,8 @@ QUERIES = {
 }
 
 _TEXT_COLUMNS = [("customer", "c_name"), ("customer", "c_mktsegment"), ("nation", "n_name"), ("orders", "o_orderstatus"), ("orders", "o_orderpriority"), ("part", "p_name"), ("part", "p_brand"), ("part", "p_type"), ("region", "r_name")]
-_COUNTED = "SELECT t, c, trim(v) AS value, count(DISTINCT v) OVER (PARTITION BY t, c) AS n FROM (" + " UNION ".join(f"SELECT '{t}' AS t, '{c}' AS c, {c} AS v FROM {t}" for t, c in _TEXT_COLUMNS) + " UNION SELECT 'orders', 'o_orderdate', strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') FROM orders)"
-_VALUES = f"(SELECT DISTINCT t, c, value FROM ({_COUNTED}) WHERE n <= 50000 AND value <> '')"
+_COUNTED = "SELECT t, c, trim(v) AS value FROM (" + " UNION ".join(f"SELECT '{t}' AS t, '{c}' AS c, {c} AS v FROM {t}" for t, c in _TEXT_COLUMNS) + " UNION SELECT 'orders', 'o_orderdate', strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') FROM orders)"
+_VALUES = f"(SELECT DISTINCT t, c, value FROM ({_COUNTED}) WHERE value <> '')"
 _GRAMS = "list_distinct(CASE WHEN length({x}) < 3 THEN [{x}] ELSE list_transform(range(1, length({x}) - 1), lambda i: substr({x}, i, 3)) END)"
 _V, _Q = _GRAMS.format(x="lower(value)"), _GRAMS.format(x="lower(keyword)")
 _SCORED = f"""q AS (SELECT query_id, keyword, {_Q} AS qg FROM ({fixtures.KEYWORD_SQL})), v AS (SELECT t, c, value, {_V} AS vg FROM {_VALUES}),
@@ -161,7 +161,7 @@ _SUPER = "highest|lowest|largest|smallest|best|worst|most|least"
 ORACLES = {
     "cell_values_distinct": f'SELECT t AS "table", c AS "column", value FROM {_VALUES}',
     "index_entry_counts": f'SELECT t AS "table", c AS "column", count(*) AS n_entries FROM {_VALUES} GROUP BY t, c',
-    "shingle_sets": f"SELECT value, array_to_string(list_sort(g), '~') AS grams, len(g)::BIGINT AS n_grams FROM (SELECT value, {_V} AS g FROM {_VALUES} WHERE t IN ('nation', 'region'))",
+    "shingle_sets": f"SELECT t AS \"table\", c AS \"column\", value, array_to_string(list_sort(g), '~') AS grams, len(g)::BIGINT AS n_grams FROM (SELECT t, c, value, {_V} AS g FROM {_VALUES})",
     "jaccard_topk": f'WITH {_SCORED} SELECT query_id, keyword, t AS "table", c AS "column", value AS matched_value, round(sim, 6) AS similarity_score, exact_match, rank::INTEGER AS rank FROM ranked WHERE rank <= 5',
     "exact_match_first": f"WITH {_SCORED} SELECT query_id, keyword, value AS matched_value FROM ranked WHERE rank = 1 AND exact_match",
     "cosine_topk": f"WITH {_COS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cs DESC, vec_id) AS rank FROM p WHERE query_id <> vec_id) SELECT query_id, vec_id, round(greatest(0.0, least(1.0, cs)), 6) AS similarity_score, rank::INTEGER AS rank FROM r WHERE rank <= 10",

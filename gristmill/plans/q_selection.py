@@ -63,7 +63,7 @@ def result_cluster_key(spark, sf_dir):
 
 def _results(spark, sf_dir):
     """Pairs of results that some relations call equal."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 200").select("o_orderkey", F.round("o_totalprice", 1).alias("p"), (F.col("o_orderkey") % 2 == 0).alias("b"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.round("o_totalprice", 1).alias("p"), (F.col("o_orderkey") % 2 == 0).alias("b"))
     key = F.col("o_orderkey")
     return {
         "same": (o, o.orderBy(F.desc("p"))),
@@ -205,7 +205,7 @@ def events_previous(spark, sf_dir):
 
 def candidate_prompts(spark, sf_dir):
     """Which of the eleven variants each question gets, and its thinking budget."""
-    asked = fixture(spark, sf_dir, "questions").where("question_id < 30")
+    asked = fixture(spark, sf_dir, "questions")
     cells = F.array().cast("array<struct<table: string, column: string, matched_value: string>>")
     contexts = asked.select("question_id", "question", "evidence", cells.alias("cells"), F.array(F.lit("example")).alias("examples"), *[F.lit(n).alias(n) for n in ("s1_ddl", "s1_markdown", "s2_ddl", "s2_markdown")], (F.col("question_id") % 2 == 0).alias("same"), (F.col("question_id") % 6).alias("n_tables"))
     made = generate.generate(generate.prompts(contexts))
@@ -239,6 +239,46 @@ pick AS (
   UNION ALL SELECT question_id, sql, generator_id, 'fast_path' FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY length(sql), pos) AS m FROM cl) WHERE m = 1
   UNION ALL SELECT question_id, sql, generator_id, 'tournament' FROM reps WHERE cluster_order = 1)"""
 
+# The equivalences in SQL: cells as text by the relation's rules, rows as lists, and what either result has more of than the other.
+_O = "(SELECT o_orderkey, round(o_totalprice, 1) AS p, o_orderkey % 2 = 0 AS b FROM orders)"
+
+
+def _cell(x: str, kind: str, relation: str) -> str:
+    whole = f"{x} = floor({x}) AND abs({x}) < 9e15"
+    forms = {
+        "float": {"strict": f"printf('%.6f', {x})", "cluster": f"printf('%.6f', {x})", "driver": f"CASE WHEN {whole} THEN {x}::BIGINT::VARCHAR ELSE printf('%.2f', {x}) END", "trace": f"CASE WHEN {whole} THEN {x}::BIGINT::VARCHAR ELSE printf('%.6f', {x}) END"},
+        "bool": {"strict": f"CASE WHEN {x} THEN '1' ELSE '0' END"},
+    }
+    plain = f"CASE WHEN {x} THEN 'True' ELSE 'False' END" if kind == "bool" else f"{x}::VARCHAR"
+    return f"CASE WHEN {x} IS NULL THEN '<null>' ELSE {forms.get(kind, {}).get(relation, plain)} END"
+
+
+_PAIRS = {
+    "same": ([("o_orderkey", "int"), ("p", "float"), ("b", "bool")], _O, [("o_orderkey", "int"), ("p", "float"), ("b", "bool")], _O),
+    "int_or_float": ([("o_orderkey", "int")], _O, [("o_orderkey::DOUBLE", "float")], _O),
+    "cell_order": ([("o_orderkey", "int"), ("p", "float")], _O, [("p", "float"), ("o_orderkey", "int")], _O),
+    "small_change": ([("p", "float")], _O, [("(p + 0.001)", "float")], _O),
+    "duplicated": ([("o_orderkey", "int")], _O, [("o_orderkey", "int")], f"(SELECT * FROM {_O} UNION ALL SELECT * FROM {_O} WHERE o_orderkey = 5)"),
+    "bool_or_int": ([("b", "bool")], _O, [("b::INTEGER", "int")], _O),
+    "nulls": ([("(CASE WHEN o_orderkey > 9 THEN o_orderkey END)", "int")], _O, [("(CASE WHEN o_orderkey > 9 THEN o_orderkey END)::INTEGER", "int")], _O),
+    "empty": ([("o_orderkey", "int")], f"{_O} WHERE false", [("o_orderkey", "int")], f"{_O} WHERE o_orderkey < 0"),
+    "width": ([("o_orderkey", "int")], _O, [("o_orderkey", "int"), ("o_orderkey", "int")], _O),
+}
+
+
+def _equivalences(relation: str) -> str:
+    def rows(cells: list[tuple[str, str]], source: str) -> str:
+        row = "[" + ", ".join(_cell(x, kind, relation) for x, kind in cells) + "]"
+        return f"SELECT {f'list_sort({row})' if relation == 'strict' else row} AS r FROM {source}"
+
+    parts = []
+    for name, (left, a, right, b) in _PAIRS.items():
+        one, other = rows(left, a), rows(right, b)
+        more = f"({one} EXCEPT ALL {other}) UNION ALL ({other} EXCEPT ALL {one})" if len(left) == len(right) else f"({one} LIMIT 1) UNION ALL ({other} LIMIT 1)"
+        parts.append(f"SELECT '{name}' AS pair, NOT EXISTS (SELECT 1 FROM ({more})) AS equal")
+    return "\nUNION ALL\n".join(parts)
+
+
 ORACLES = {
     "confidence_raw": f"WITH {_RAW} SELECT question_id, pos, round(rc, 6) AS raw_confidence FROM raw",
     "confidence_normalized": f"WITH {_CONF} SELECT question_id, pos, round(confidence, 6) AS confidence FROM conf",
@@ -250,11 +290,6 @@ ORACLES = {
     "p AS (SELECT question_id, 'fast_path' AS method, first(sql ORDER BY length(sql), pos) AS sql FROM live GROUP BY 1 UNION ALL SELECT question_id, 'fallback', first(sql ORDER BY confidence DESC, pos) FROM conf WHERE success GROUP BY 1) SELECT question_id, sql, method FROM m JOIN p USING (question_id, method)",
     "judged_tournament": f"WITH {_CHOSEN} SELECT question_id, first(sql ORDER BY cluster_order DESC) AS sql FROM reps JOIN meth USING (question_id) WHERE method = 'tournament' GROUP BY 1",
     "result_cluster_key": "SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_mktsegment, round(c_acctbal, -3)) AS first FROM customer",
-    "equiv_strict": "SELECT * FROM (VALUES ('same', true), ('int_or_float', false), ('cell_order', true), ('small_change', false), ('duplicated', false), ('bool_or_int', true), ('nulls', true), ('empty', true), ('width', false)) AS v(pair, equal)",
-    "equiv_driver": "SELECT * FROM (VALUES ('same', true), ('int_or_float', true), ('cell_order', false), ('small_change', CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_orderkey < 200 AND round(o_totalprice, 1) = floor(round(o_totalprice, 1))) THEN false ELSE true END), ('duplicated', false), ('bool_or_int', false), ('nulls', true), ('empty', true), ('width', false)) AS v(pair, equal)",
-    "equiv_trace": "SELECT * FROM (VALUES ('same', true), ('int_or_float', true), ('cell_order', false), ('small_change', false), ('duplicated', false), ('bool_or_int', false), ('nulls', true), ('empty', true), ('width', false)) AS v(pair, equal)",
-    "equiv_checkpoint": "SELECT * FROM (VALUES ('same', true), ('int_or_float', false), ('cell_order', false), ('small_change', false), ('duplicated', false), ('bool_or_int', false), ('nulls', true), ('empty', true), ('width', false)) AS v(pair, equal)",
-    "equiv_cluster": "SELECT * FROM (VALUES ('same', true), ('int_or_float', false), ('cell_order', false), ('small_change', false), ('duplicated', false), ('bool_or_int', false), ('nulls', true), ('empty', true), ('width', false)) AS v(pair, equal)",
     "multiset_diff": "SELECT l_returnflag AS flag, l_linenumber::VARCHAR AS line, count(*) FILTER (WHERE l_quantity < 20) AS n_a, count(*) FILTER (WHERE l_quantity > 30) AS n_b FROM lineitem GROUP BY 1, 2 HAVING n_a <> n_b",
     "ex_grouping_sets": f"SELECT 'overall' AS \"grouping\", NULL AS value, count(*) AS n, round(avg(correct::INT), 6) AS ex FROM {_E} "
     + " ".join(f"UNION ALL SELECT '{g}', {g}, count(*), round(avg(correct::INT), 6) FROM {_E} GROUP BY {g}" for g in metrics.GROUPINGS),
@@ -281,5 +316,6 @@ ORACLES = {
     "events_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 2 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS session_end, count(*) AS n FROM s GROUP BY user_id, k",
     "events_previous": "SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_event_id FROM events",
     "candidate_prompts": f"""SELECT question_id, pos, generator_id, schema_used, question_id % 2 = 0 AND ends_with(generator_id, '_s2') AS another_way, CASE WHEN starts_with(generator_id, 'reasoning') THEN CASE WHEN question_id % 6 <= 2 THEN 4000 WHEN question_id % 6 <= 4 THEN 6000 ELSE 8000 END END::INTEGER AS budget, true AS error_flag
-FROM {_Q}, (VALUES {', '.join(f"({i}, '{g}', '{s}')" for i, (g, s, _, _) in enumerate(generate.VARIANTS))}) AS v(pos, generator_id, schema_used) WHERE question_id < 30""",
+FROM {_Q}, (VALUES {', '.join(f"({i}, '{g}', '{s}')" for i, (g, s, _, _) in enumerate(generate.VARIANTS))})  AS v(pos, generator_id, schema_used)""",
 }
+ORACLES |= {f"equiv_{r}": _equivalences(r) for r in equivalence.RELATIONS}

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from functools import wraps
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,35 +70,53 @@ def cache_key(model: str, messages: Sequence[dict[str, Any]]) -> str:
 
 
 class AnswerCache:
-    """Answers of text models by model and messages, as JSON lines in a folder; the last line of a key counts.
+    """Answers of text models by model and messages, as JSON lines in 256 folders by key; the last line of a key counts.
 
-    Off, missing, unreadable, of another key, or older than ``ttl`` seconds: no answer.
+    Off, missing, unreadable, of another key, or older than ``ttl`` seconds: no answer. One answer is looked up in its folder
+    alone; many are looked up by ``lookup`` and added by ``add``, one job for all.
     """
 
     def __init__(self, spark: SparkSession, folder: str, enabled: bool = True):
         self.spark, self.folder, self.enabled = spark, folder, enabled
         self.schema = "key string, model string, answer string, created double"
 
-    def _rows(self) -> DataFrame:
-        if not exists(self.spark, self.folder):
+    def _rows(self, path: str | None = None) -> DataFrame:
+        path = path or self.folder
+        if not exists(self.spark, path):
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).json(self.folder)
+        return self.spark.read.schema(self.schema).json(path).select("key", "model", "answer", "created")
+
+    def _place(self, key: str) -> str:
+        return f"{self.folder}/shard={key[:2]}"
 
     def get(self, model: str, messages: Sequence[dict[str, Any]], ttl: float | None = None) -> str | None:
         if not self.enabled:
             return None
-        row = self._rows().where((F.col("key") == cache_key(model, messages)) & F.col("answer").isNotNull()).orderBy(F.desc("created")).head()
+        key = cache_key(model, messages)
+        row = self._rows(self._place(key)).where((F.col("key") == key) & F.col("answer").isNotNull()).orderBy(F.desc("created")).head()
         return None if row is None or (ttl is not None and time.time() - row.created > ttl) else row.answer
 
     def set(self, model: str, messages: Sequence[dict[str, Any]], answer: str) -> None:
         if self.enabled:
-            self.spark.createDataFrame([(cache_key(model, messages), model, answer, time.time())], self.schema).coalesce(1).write.mode("append").json(self.folder)
+            key = cache_key(model, messages)
+            self.spark.createDataFrame([(key, model, answer, time.time())], self.schema).coalesce(1).write.mode("append").json(self._place(key))
+
+    def add(self, answers: DataFrame, model: str) -> None:
+        """Keep ``answers (prompt, answer)`` of one user message each."""
+        if self.enabled:
+            rows = answers.select(self._key(model).alias("key"), F.lit(model).alias("model"), "answer", F.lit(time.time()).alias("created")).withColumn("shard", F.substring("key", 1, 2))
+            rows.repartition("shard").write.mode("append").partitionBy("shard").json(self.folder)
 
     def lookup(self, prompts: DataFrame, model: str) -> DataFrame:
         """``prompts (prompt)`` with the cached ``answer`` of each, null where there is none, by one join."""
-        key = F.sha2(F.concat(F.lit(model + '[{"content": '), F.to_json(F.array("prompt")).substr(F.lit(2), F.length(F.to_json(F.array("prompt"))) - 2), F.lit(', "role": "user"}]')), 256)
         last = self._rows().groupBy("key").agg(F.max_by("answer", "created").alias("answer"))
-        return prompts.withColumn("key", key).join(last, "key", "left").drop("key")
+        return prompts.withColumn("key", self._key(model)).join(last, "key", "left").drop("key")
+
+    @staticmethod
+    def _key(model: str) -> Column:
+        """``cache_key`` of one user message, the column ``prompt``."""
+        quoted = F.to_json(F.array("prompt"))
+        return F.sha2(F.concat(F.lit(model + '[{"content": '), quoted.substr(F.lit(2), F.length(quoted) - 2), F.lit(', "role": "user"}]')), 256)
 
     def cached(self, model: str, ttl: float | None = None) -> Callable:
         """Wrap a function of messages so that it is asked once for the same ones."""

@@ -67,6 +67,8 @@ def test_answer_cache(spark, tmp_path):
     assert ask(messages) == "hello" and not asked
     found = cache.lookup(spark.createDataFrame([("hi",), ("ho",)], "prompt string"), "m")
     assert rows(found) == [("hi", "hello"), ("ho", None)]
+    cache.add(spark.createDataFrame([("h\"o\n", "one"), ("é", "two")], "prompt string, answer string"), "m")
+    assert cache.get("m", [{"role": "user", "content": 'h"o\n'}]) == "one" and cache.get("m", messages) == "hello"
     assert artifacts.AnswerCache(spark, str(tmp_path / "c"), enabled=False).get("m", messages) is None
 
 
@@ -167,6 +169,27 @@ def test_verification(spark):
     assert {r.id: (round(r.adjustment, 3), r.all_pass) for r in verify.adjustment(tests, ["id"]).collect()} == {1: (-0.4, False), 2: (0.2, True), 3: (0.0, True)}
 
 
+def test_verification_sees_the_whole_result(spark):
+    spark.range(30_000).selectExpr("id", "IF(id = 29999, NULL, id % 29000) AS k").createOrReplaceTempView("wide")
+    v, S = verify.Verifier(spark), verify.Spec
+    specs = [S("grain", upper=20_000), S("grain", lower=30_000), S("null"), S("duplicate"), S("scale", maximum=29_500), S("scale", maximum=28_998)]
+    assert [o.status for o in v.evaluate("SELECT k FROM wide ORDER BY id", specs)] == ["fail", "pass", "fail", "fail", "pass", "fail"]
+
+
+def test_a_judge_decides_on_boundaries(spark):
+    S = verify.Spec("boundary")
+    said = lambda answer, sql: [o.status for o in verify.Verifier(spark, answer).evaluate(sql, [S])]
+    assert said(lambda p: "Pass: it does", "SELECT 1") == ["pass"] and said(lambda p: "fail", "SELECT 1") == ["fail"]
+    assert said(lambda p: 1 / 0, "SELECT 1") == ["error"] and said(lambda p: 1 / 0, "SELECT 1 FROM range(3) WHERE DATE '2020-01-01' IS NULL") == ["pass"]
+
+
+def test_ties_at_the_last_place_go_by_id(spark):
+    df = spark.range(3000).selectExpr("id AS vec_id", "array(1.0D, 2.0D) AS embedding").repartition(3)
+    got = vectors.cosine_topk(df.where("vec_id % 500 = 7"), df, 4, exclude_self=True, block=256).collect()
+    assert len(got) == 6 * 4
+    assert sorted(r.vec_id for r in got if r.query_id == 507) == [0, 1, 2, 3] and {r["rank"] for r in got} == {1, 2, 3, 4}
+
+
 def test_equivalence_of_odd_numbers(spark):
     a = spark.createDataFrame([(float("nan"), 1e300), (float("inf"), -0.0)], "x double, y double")
     for relation in equivalence.RELATIONS:
@@ -202,11 +225,46 @@ def test_from_database_to_accuracy(spark, sf_dir, tmp_path):
     assert said.sql == "SELECT r_name FROM region ORDER BY r_name LIMIT 2" and said.method == "fast_path"
 
 
+def test_a_model_grounds_and_links(spark, sf_dir, tmp_path):
+    c = catalog.load_catalog(spark, sf_dir, ["customer", "nation", "region"])
+    asked = spark.createDataFrame([(1, "main", "Which customers live in ASIA?", "x" * 900, "SELECT 1", "simple"), (2, "main", "Regions?", None, "SELECT 1", "simple")], catalog.QUESTION)
+    a = flows.build(c, artifacts.ArtifactStore(spark, str(tmp_path)), None)
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def model(prompt):
+        (seen / f"{abs(hash(prompt))}").write_text(prompt)
+        if "Regions?" in prompt:
+            raise OSError("no answer")
+        if "literals" in prompt:
+            return 'Sure: {"literals": ["ASIA"], "references": "none"} done'
+        if "further" in prompt:
+            return '[{"table": "nation", "column": "n_name"}, {"table": "no", "column": "such"}]'
+        return '[{"table": "customer", "column": "c_name"}]'
+
+    rows = {r.question_id: r for r in flows.contexts(asked, a, model).collect()}
+    one, two = rows[1], rows[2]
+    assert {(x["table"], x["column"]) for x in one.s1_fields} == {("customer", "c_custkey"), ("customer", "c_name"), ("customer", "c_nationkey")}
+    assert {(x["table"], x["column"]) for x in one.s2_fields} >= {("nation", "n_name"), ("nation", "n_nationkey"), ("customer", "c_name")} and not one.same
+    assert one.s1_ddl.startswith("-- Table: customer\nCREATE TABLE customer (\n  c_custkey INTEGER PRIMARY KEY,") and "c_acctbal" not in one.s1_ddl and "CREATE TABLE nation" in one.s2_ddl and "| n_name | TEXT |" in one.s2_markdown
+    assert "-- Foreign keys: c_nationkey REFERENCES nation(n_nationkey)" in one.s1_ddl
+    assert two.same and len(two.s1_fields) >= 15 or len(two.s1_fields) == a.profile.count()
+    assert any(("x" * 500 + "...") in f.read_text() and "x" * 501 not in f.read_text() for f in seen.iterdir())
+    plain = {r.question_id: r.literals for r in flows.ground.literals(asked).collect()}
+    said = {r.question_id: (r.literals, r.references) for r in flows.ground.literals(asked, model).collect()}
+    assert said == {1: (["ASIA"], []), 2: (plain[2], plain[2])}
+    promoted = spark.createDataFrame([(1, "The r_name field in the region table.")], "question_id int, hint string")
+    named = {(r["table"], r["column"]) for r in flows._promoted(promoted, a).join(a.fields, "vec_id").collect()}
+    assert ("region", "r_name") in named
+
+
 def test_fix_rounds(spark, sf_dir):
     c = catalog.load_catalog(spark, sf_dir, ["region"]).register()
     tries = iter(["SELECT r_nam FROM region", "SELECT r_name FROM region WHERE r_regionkey < 0", "SELECT r_name FROM region"])
     fixed = flows.fix_one(c, 1, 0, "g", "SELEC", [verify.Spec("grain")], lambda sql, result, outcomes: next(tries))
     assert fixed.n_fixes == 3 and fixed.result.success and len(fixed.trace) == 4 and fixed.adjustment == verify.BONUS
+    assert all(len(t) == 17 for t in fixed.trace) and [t["fix_triggered"] for t in fixed.trace] == [True, True, True, False] and fixed.trace[3]["is_final_assessment"] and fixed.trace[3]["verif_all_pass"]
+    assert fixed.trace[1]["sql_changed_from_previous"] and fixed.trace[2]["exec_issues_sent"] == ["no rows"] and not fixed.trace[0]["verif_ran"] and fixed.trace[3]["exec_row_count"] == 5
     stuck = flows.fix_one(c, 1, 0, "g", "SELEC", [], lambda *a: "SELEC")
     assert stuck.n_fixes == 3 and not stuck.result.success
 

@@ -63,3 +63,22 @@ def test_text_functions(spark):
     assert [r[0] for r in answers.select(text.clean_sql(answers.s)).collect()] == ["SELECT 1", "SELECT 2", "SELECT 3", "SELECT 4"]
     order = spark.createDataFrame([("the most of all",), ("least and most",), ("nothing",), ("worst",)], "q string")
     assert [r[0] for r in order.select(text.direction_from_question(order.q)).collect()] == ["DESC", None, None, "ASC"]
+
+
+def test_results_beyond_the_preview_count_as_wholes(spark):
+    spark.range(25_000).createOrReplaceTempView("many")
+    a, b, c = (execute.execute_sql(spark, q) for q in ("SELECT id FROM many ORDER BY id LIMIT 20000", "SELECT id FROM many WHERE id < 20000 ORDER BY id DESC LIMIT 30000", "SELECT id + 1 AS id FROM many LIMIT 20000"))
+    assert [(r.success, r.truncated, r.n_rows, len(r.rows)) for r in (a, b, c)] == [(True, True, 20_000, 10_000)] * 3
+    assert a.key == b.key != c.key
+    small = execute.execute_sql(spark, "SELECT id FROM many LIMIT 3")
+    assert (small.n_rows, small.truncated, small.key) == (3, False, None)
+
+
+def test_names_in_sql_are_read_as_tokens(spark):
+    cases = {
+        "SELECT t.a_b, `c d` FROM \"e \"\"f\" t WHERE x = 'it''s FROM gh' -- ij\n AND kl > 1e5 /* mn */": ["a_b", "c d", 'e "f', "kl"],
+        "select [odd name], count(*) from tab where y2 like '%z%'": ["odd name", "tab", "y2"],
+        "": [],
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "s string")
+    assert {r.s: r.n for r in df.select("s", text.sql_identifiers(df.s).alias("n")).collect()} == cases
