@@ -18,6 +18,8 @@ BUCKETS, SIZE = 1 << 15, 16
 #: Labelled texts fitted for each language, at most; all other texts are only counted. Languages learnt, the most frequent ones, at most.
 SAMPLE_PER_LANG, MOST_LANGS = 200, 256
 UNKNOWN = "und"
+#: An answer of a smaller calibrated probability is more likely wrong than right, and always rejected.
+EVEN = 0.5
 
 _IS_LETTER = np.zeros(256, dtype=bool)
 _IS_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -113,7 +115,8 @@ def train(samples: list[tuple[str, str]], epochs: int = 2, rate: float = 0.5, se
     """Fit on (language, whole text) pairs; a fifth of the texts is kept back to calibrate the temperature and the rejection.
 
     The temperature is the one of least log loss there. A prediction is rejected below the lowest score at which
-    accepted predictions err at most once in 200, but never more than one in 1000 correct ones is given up for it.
+    accepted predictions err at most once in 200, but never more than one in 1000 correct ones is given up for it; and where it is
+    below ``EVEN``.
     """
     langs = sorted({lang for lang, _ in samples})
     if not langs:
@@ -153,7 +156,7 @@ def train(samples: list[tuple[str, str]], epochs: int = 2, rate: float = 0.5, se
         model.temperature = float(min(grid, key=lambda t: -np.log(np.maximum(softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean()))
         p = softmax(z / model.temperature)
         score, right = p.max(axis=1), p.argmax(axis=1) == y
-        model.reject_below = _threshold(score, right)
+        model.reject_below = max(EVEN, _threshold(score, right))
     return model
 
 
