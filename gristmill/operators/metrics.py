@@ -50,6 +50,21 @@ def methods_by_group(evaluations: DataFrame, by: str = "db_id") -> DataFrame:
     return evaluations.groupBy(by).pivot("selection_method", methods).count().na.fill(0, methods)
 
 
+def latency(evaluations: DataFrame, by: str = "db_id") -> DataFrame:
+    """Mean, median, 95th percentile and longest latency of each group, exactly; nulls count for nothing."""
+    seconds = F.col("latency_seconds")
+    return evaluations.groupBy(by).agg(F.avg(seconds).alias("mean"), F.percentile(seconds, 0.5).alias("median"), F.percentile(seconds, 0.95).alias("p95"), F.max(seconds).alias("longest"))
+
+
+def component_summary(traces: DataFrame) -> DataFrame:
+    """``component, measure, n, mean, error_rate`` of long traces ``(question_id, component, measure, value, error)``.
+
+    A mean leaves out nulls and is 0 of nothing, as ``safe_average``; the rate of errors is over all of a component's rows of the measure.
+    """
+    rate = F.avg(F.coalesce(F.col("error"), F.lit(False)).cast("int"))
+    return traces.groupBy("component", "measure").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.round(F.avg("value"), 4), F.lit(0.0)).alias("mean"), F.round(rate, 4).alias("error_rate"))
+
+
 def stratified_sample(questions: DataFrame, n: int = 1, seed: int = 42) -> DataFrame:
     """``n`` questions of each database and difficulty, those of least seeded hash; the group limit applies before the shuffle."""
     order = Window.partitionBy("db_id", "difficulty").orderBy(F.xxhash64("question_id", F.lit(seed)), "question_id")

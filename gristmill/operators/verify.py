@@ -128,6 +128,41 @@ def plan_from_question(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", limit.alias("order_limit"), direction.alias("direction"), (limit.isNotNull() | direction.isNotNull()).alias("wants_ordering"), q.rlike(r"\b(1[6-9]|20)\d\d\b").alias("wants_boundary"))
 
 
+# Words of a question that call for a test.
+ONE_NUMBER = r"(?i)\b(how many|number of|total|average|overall|sum of)\b"
+BY_GROUP = r"(?i)\b(per|each|every|broken down by|grouped by)\b"
+SPARSE = r"(?i)\b(names?|e-?mails?|address|addresses|phones?|descriptions?|websites?)\b"
+LISTED = r"(?i)\b(list|show|find|return|give|which|who)\b"
+SHARE = r"(?i)\b(percent|percentage|proportion|share)\b"
+
+
+def planned_tests(questions: DataFrame) -> DataFrame:
+    """The tests that the words of a question call for: ``question_id, one_row, least_rows, order_limit, wants_*``, by rules alone.
+
+    A question for one number, not by group, has one row, whatever the query counts; one that names a number of rows has
+    as many at least. Attributes that are often missing call for a test of nulls, lists of things for one of duplicates,
+    percentages for one of scale, an order or superlative for one of ordering, a year for one of date bounds.
+    """
+    q = F.col("question")
+    base = plan_from_question(questions).join(questions.select("question_id", "question"), "question_id")
+    one_row = q.rlike(ONE_NUMBER) & ~q.rlike(BY_GROUP) & F.col("order_limit").isNull()
+    return base.select(
+        "question_id", one_row.alias("one_row"), F.coalesce("order_limit", F.lit(1)).alias("least_rows"), "order_limit", "wants_ordering", "wants_boundary",
+        (q.rlike(SPARSE) & ~one_row).alias("wants_null"), (q.rlike(LISTED) & ~one_row).alias("wants_duplicate"), q.rlike(SHARE).alias("wants_scale"),
+    )
+
+
+def specs_of(plan: Row, upper_sql: str | None = None) -> list[Spec]:
+    """The tests of one row of ``planned_tests``, the test of grain first. ``upper_sql`` counts what the question asks about, without conditions."""
+    out = [Spec("grain", lower=plan.least_rows, upper_sql="SELECT 1" if plan.one_row else upper_sql, confidence="high" if plan.one_row else "low")]
+    out += [Spec("null")] if plan.wants_null else []
+    out += [Spec("duplicate")] if plan.wants_duplicate else []
+    if plan.wants_ordering:
+        out.append(Spec("ordering", keywords=["ORDER BY", *(["LIMIT"] if plan.order_limit else [])], order_limit=plan.order_limit))
+    out += [Spec("scale", minimum=0, maximum=100)] if plan.wants_scale else []
+    return out + ([Spec("boundary")] if plan.wants_boundary else [])
+
+
 def adjustment(tests: DataFrame, keys: list[str]) -> DataFrame:
     """``adjustment, all_pass`` per candidate of ``tests (..., test_type, status)``.
 

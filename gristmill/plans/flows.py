@@ -181,7 +181,7 @@ def answer(questions: DataFrame, a: Artifacts, model: Callable[[str], str] | Non
     made = generate.generate(generate.prompts(contexts(questions, a, grounder)), model).select("question_id", "pos", "generator_id", "sql")
     made = made.unionByName(extra.select("question_id", "pos", "generator_id", "sql")) if extra is not None else made
     rows = [tuple(r) for r in made.orderBy("question_id", "pos").collect()]  # a few per question
-    plans = {r.question_id: [verify.Spec("grain"), *([verify.Spec("ordering", order_limit=r.order_limit)] if r.wants_ordering else [])] for r in verify.plan_from_question(questions).collect()}
+    plans = {r.question_id: verify.specs_of(r) for r in verify.planned_tests(questions).collect()}
     fixed = fix_all(a.catalog, rows, plans, fixer)
     return select.choose(select.with_confidence(candidate_frame(a.catalog, fixed)), judge)
 

@@ -118,6 +118,17 @@ def methods_by_db(spark, sf_dir):
     return metrics.methods_by_group(_evaluations(spark, sf_dir))
 
 
+def latency_by_db(spark, sf_dir):
+    return metrics.latency(_evaluations(spark, sf_dir))
+
+
+def component_summary(spark, sf_dir):
+    """The measures of generation, fixing and selection that each evaluation has, one row each."""
+    measures = F.array(*[F.struct(F.lit(c).alias("component"), F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for c, m in (("generation", "cluster_count"), ("fixing", "fix_count"), ("selection", "latency_seconds"), ("selection", "cost_estimate"))])
+    traces = _evaluations(spark, sf_dir).select("question_id", F.inline(measures), F.col("error_stage").isNotNull().alias("error"))
+    return metrics.component_summary(traces)
+
+
 def running_ex(spark, sf_dir):
     return metrics.running_accuracy(_evaluations(spark, sf_dir)).select("question_id", F.round("running_ex", 6).alias("running_ex"))
 
@@ -216,7 +227,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         confidence_raw, confidence_normalized, cluster_sizes, cluster_representatives, tournament_pairs, tournament_winner, fast_path_shortest, judged_tournament, result_cluster_key,
-        *[_equivalence(r) for r in equivalence.RELATIONS], multiset_diff, ex_grouping_sets, ex_overall, evaluation_issues, worst3_groups, methods_by_db, running_ex, failure_classes,
+        *[_equivalence(r) for r in equivalence.RELATIONS], multiset_diff, ex_grouping_sets, ex_overall, evaluation_issues, worst3_groups, methods_by_db, latency_by_db, component_summary, running_ex, failure_classes,
         oracle_pre_post, selector_precision, generator_stats, candidate_diversity, fix_distribution, safe_average, winner_generators, oracle_transitions, mended_tests,
         verification_calibration, stratified_sample, resume_anti_join, fallback_summary, events_tumbling_counts, events_sessions, events_previous, candidate_prompts,
     )
@@ -297,6 +308,8 @@ ORACLES = {
     "evaluation_issues": f"WITH s AS (SELECT avg(correct::INT) AS ex, avg((selection_method = 'fast_path')::INT) AS f, avg(coalesce(fix_count, 0)) AS x, avg((predicted_sql = '' OR selection_method = 'error')::INT) AS u FROM {_E}) SELECT 'accuracy below a half' AS issue FROM s WHERE ex < 0.5 UNION ALL SELECT 'many questions without a query' FROM s WHERE u > 0.1 UNION ALL SELECT 'candidates seldom agree' FROM s WHERE f < 0.3 UNION ALL SELECT 'many fixes for each question' FROM s WHERE x > 2",
     "worst3_groups": f"SELECT db_id, count(*) AS n, round(avg(correct::INT), 6) AS ex FROM {_E} GROUP BY 1 ORDER BY avg(correct::INT), db_id LIMIT 3",
     "methods_by_db": f"SELECT db_id, count(*) FILTER (WHERE selection_method = 'fast_path') AS fast_path, count(*) FILTER (WHERE selection_method = 'tournament') AS tournament, count(*) FILTER (WHERE selection_method = 'fallback') AS fallback, count(*) FILTER (WHERE selection_method = 'error') AS error FROM {_E} GROUP BY 1",
+    "latency_by_db": f"SELECT db_id, avg(latency_seconds) AS mean, quantile_cont(latency_seconds, 0.5) AS median, quantile_cont(latency_seconds, 0.95) AS p95, max(latency_seconds) AS longest FROM {_E} GROUP BY 1",
+    "component_summary": " UNION ALL ".join(f"SELECT '{c}' AS component, '{m}' AS measure, count(*) AS n, coalesce(round(avg({m}::DOUBLE), 4), 0.0) AS mean, round(avg((error_stage IS NOT NULL)::INT), 4) AS error_rate FROM {_E}" for c, m in (("generation", "cluster_count"), ("fixing", "fix_count"), ("selection", "latency_seconds"), ("selection", "cost_estimate"))),
     "running_ex": f"SELECT question_id, round(avg(correct::INT) OVER (ORDER BY question_id ROWS UNBOUNDED PRECEDING), 6) AS running_ex FROM {_E}",
     "failure_classes": f"SELECT CASE WHEN error_stage IS NOT NULL THEN 'pipeline_error:' || error_stage WHEN NOT oracle_pre AND NOT oracle_post THEN CASE WHEN s2_complete THEN 'generation_failure' ELSE 'schema_miss' END WHEN oracle_post AND NOT selector_matched THEN 'selector_miss' WHEN oracle_pre AND NOT oracle_post THEN 'fixer_regression' WHEN oracle_post AND selector_matched THEN 'eval_mismatch' ELSE 'unknown' END AS class, count(*) AS n FROM {_E} WHERE NOT correct GROUP BY 1",
     "oracle_pre_post": f"SELECT count(*) AS n_questions, count(*) FILTER (WHERE a) AS oracle_pre, count(*) FILTER (WHERE b) AS oracle_post, count(*) FILTER (WHERE b AND NOT a) AS fixer_gains FROM (SELECT question_id, bool_or(match_pre) AS a, bool_or(match_post) AS b FROM {_C} GROUP BY 1)",

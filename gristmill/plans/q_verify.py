@@ -66,6 +66,10 @@ def verification_plan(spark, sf_dir):
     return verify.plan_from_question(fixtures.fixture(spark, sf_dir, "questions"))
 
 
+def verification_rules(spark, sf_dir):
+    return verify.planned_tests(fixtures.fixture(spark, sf_dir, "questions"))
+
+
 def _tests(spark, sf_dir):
     status = F.element_at(F.array(F.lit("pass"), F.lit("fail"), F.lit("skip"), F.lit("error")), (F.pmod(F.col("l_partkey") + F.col("l_linenumber"), F.lit(4)) + 1).cast("int"))
     kind = F.element_at(F.array(*[F.lit(t) for t in verify.TESTS]), (F.col("l_linenumber") % 8 + 1).cast("int"))
@@ -111,13 +115,17 @@ def verifier_outcomes(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (grain_check, null_cells_pct, duplicate_ratio, exact_duplicates, scale_violations, symmetry_check, ordering_check, boundary_check, safe_sql_guard, verification_plan, verification_adjustment, error_taxonomy, fix_instructions, guarded_execution, verifier_outcomes)
+    for f in (grain_check, null_cells_pct, duplicate_ratio, exact_duplicates, scale_violations, symmetry_check, ordering_check, boundary_check, safe_sql_guard, verification_plan, verification_rules, verification_adjustment, error_taxonomy, fix_instructions, guarded_execution, verifier_outcomes)
 }
 
 _ERRORS = f"({fixtures.ERRORS})"
 _CATEGORY = "CASE WHEN is_empty THEN 'empty_result' WHEN message IS NULL THEN 'other' WHEN contains(lower(message), 'syntax') THEN 'syntax' WHEN regexp_matches(lower(message), 'no such column|no such table|ambiguous column') THEN 'schema' WHEN regexp_matches(lower(message), 'datatype mismatch|type mismatch|cannot compare') THEN 'type' ELSE 'other' END"
 _TYPES = ", ".join(f"'{t}'" for t in verify.TESTS)
+_LIMITED = "CASE question_id % 6 WHEN 0 THEN 5 WHEN 1 THEN 3 WHEN 4 THEN 12 END::INTEGER"
+_ONE = f"(regexp_matches(question, '{verify.ONE_NUMBER}') AND NOT regexp_matches(question, '{verify.BY_GROUP}') AND {_LIMITED} IS NULL)"
 ORACLES = {
+    "verification_rules": f"""SELECT question_id, {_ONE} AS one_row, coalesce({_LIMITED}, 1) AS least_rows, {_LIMITED} AS order_limit, question_id % 6 IN (0, 1, 2, 4) AS wants_ordering, question_id % 6 = 2 AS wants_boundary,
+regexp_matches(question, '{verify.SPARSE}') AND NOT {_ONE} AS wants_null, regexp_matches(question, '{verify.LISTED}') AND NOT {_ONE} AS wants_duplicate, regexp_matches(question, '{verify.SHARE}') AS wants_scale FROM ({fixtures.QUESTIONS})""",
     "grain_check": "SELECT c_mktsegment, n AS n_rows, CASE WHEN n >= 1 AND n <= u THEN 'pass' ELSE 'fail' END AS status FROM (SELECT c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) JOIN (SELECT c_mktsegment, count(*) * 10 AS u FROM customer GROUP BY 1) USING (c_mktsegment)",
     "null_cells_pct": "SELECT count(*) AS n_rows, count(*) * 3 AS n_cells, (2 * count(*) - count(nullif(c_mktsegment, 'BUILDING')) - count(nullif(c_nationkey, 3))) AS n_nulls, (2 * count(*) - count(nullif(c_mktsegment, 'BUILDING')) - count(nullif(c_nationkey, 3))) > count(*) * 3 * 0.1 AS fails FROM customer",
     "duplicate_ratio": "SELECT o_orderstatus, count(*) AS n_rows, count(DISTINCT o_orderkey) AS expected, count(*)::DOUBLE / count(DISTINCT o_orderkey) >= 2 AS fails FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1",
