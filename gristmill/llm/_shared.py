@@ -101,6 +101,34 @@ def sifted(rows: DataFrame, key: list[str], wanted: DataFrame, flag: str) -> Dat
     return rows.join(F.broadcast(marks), fold == F.col("_mark"), "left").withColumn(flag, F.col("_mark").isNotNull()).drop("_mark")
 
 
+#: Rows of one key that a join brings to one task, about.
+TOGETHER = 512
+
+
+def parts_of(counts: DataFrame, key: list[str], most: int) -> DataFrame:
+    """Into how many parts keys of over ``most`` rows are dealt, from ``counts (key, n)``: a row for each value that they fold to, ``SIEVE`` at most."""
+    fold = F.pmod(F.xxhash64(*key), F.lit(SIEVE))
+    return counts.where(F.col("n") > most).groupBy(fold.alias("_mark")).agg(F.max(F.ceil(F.col("n") / most)).alias("_parts"))
+
+
+def parted(rows: DataFrame, key: list[str], parts: DataFrame) -> DataFrame:
+    """``rows`` with ``_parts``, 1 for most. Keys that fold to one value have one number of parts, so both sides of a join agree on it."""
+    fold = F.pmod(F.xxhash64(*key), F.lit(SIEVE))
+    return rows.join(F.broadcast(parts), fold == F.col("_mark"), "left").withColumn("_parts", F.coalesce("_parts", F.lit(1))).drop("_mark")
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: list[str], by: str) -> DataFrame:
+    """``many`` joined with ``one`` (settled; a row for each key, with ``n``, how many rows of ``many`` have it) on ``key``.
+
+    Keys of over ``TOGETHER`` rows are dealt to several tasks by ``by``, and their row of ``one`` goes to each. Both sides know
+    into how many by a broadcast of bounded size, so no key is brought together to count it.
+    """
+    parts = parts_of(one, key, TOGETHER)
+    left = parted(many, key, parts).withColumn("_part", F.pmod(F.xxhash64(by), F.col("_parts"))).drop("_parts")
+    right = parted(one, key, parts).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts", "n")
+    return left.join(right, [*key, "_part"]).drop("_part")
+
+
 def map_batches(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow``, with the session's Arrow batches bounded to ``BATCH_BYTES``, so that long texts do not add up."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -115,12 +115,13 @@ def read_archive(data: bytes) -> Iterator[Record | Gap]:
 
     Members and plain records may follow each other in one archive. Where a member or record fails a check, reading
     goes on at the next byte sequence that begins a valid one; what lies between is a gap with the first failure's
-    reason. A member may hold several records; inside a member that is damaged half-way nothing is taken.
+    reason. A member may hold several records: where one of these fails a check, the others are taken, found by their version
+    lines, and a gap names the member. Of a member that does not unpack whole nothing is taken.
     """
     at, bad, reason = 0, -1, ""
     while at < len(data):
         records, end, failure = _at(data, at)
-        if failure:
+        if failure and not records:
             if bad < 0:
                 bad, reason = at, failure
             at = _next(data, at + 1)
@@ -129,12 +130,15 @@ def read_archive(data: bytes) -> Iterator[Record | Gap]:
             yield Gap(bad, at, reason)
             bad = -1
         yield from records
+        if failure:
+            yield Gap(at, end, f"inside a member: {failure}")
         at = end
     if bad >= 0:
         yield Gap(bad, len(data), reason)
 
 
 def _at(data: bytes, at: int) -> tuple[list[Record], int, str]:
+    """The records at ``at``, where they end, and what is wrong there: with everything, or with some records of a member."""
     if data.startswith(b"WARC/", at):
         found = parse_record(data, at)
         return ([], at, found) if isinstance(found, str) else ([found[0]], found[1], "")
@@ -151,14 +155,17 @@ def _at(data: bytes, at: int) -> tuple[list[Record], int, str]:
     if not unpacker.eof:
         return [], at, "member is cut short"
     end = min(fed, len(data)) - len(unpacker.unused_data)
-    inner, records, where = b"".join(parts), [], 0
+    inner, records, where, failure = b"".join(parts), [], 0, ""
     while where < len(inner):
         found = parse_record(inner, where)
         if isinstance(found, str):
-            return [], at, found
-        records.append(found[0]._replace(start=at, end=end))
-        where = found[1]
-    return records, end, ""
+            failure = failure or found
+            line = _VERSION_LINE.search(inner, where + 1)
+            where = line.start() if line else len(inner)
+        else:
+            records.append(found[0]._replace(start=at, end=end))
+            where = found[1]
+    return records, end, failure
 
 
 def _chunks(rows: Iterator[bytes]) -> Iterator[bytes]:
@@ -222,7 +229,8 @@ _BARE = re.compile(r"^<?(?:urn:page:)?(.*?)>?$")
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Every record and every quarantined gap of the archives below ``path``; gaps have a ``gap_reason`` and nothing else but their place.
 
-    An archive is read by one task as one value, so archives must be of bounded size, as the writer's are.
+    An archive is read by one task as one value, so archives must be of bounded size, as the writer's are; Spark reads
+    files of up to 2 GB so. Empty folders' archives give no rows; several archives may hold the same records, which are rows of their own.
     A revisit's payload size is that of its HTTP header; its payload is null. Damage never ends the read.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
@@ -265,7 +273,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def archive_pages(pages: DataFrame, path: str | None = None, min_revisit_bytes: int = 0) -> DataFrame:
-    """Write the pages and read the archives back: ``page_id, payload_bytes, payload_digest, record_type, refers_to`` per record."""
+    """Write the pages and read the archives back: ``page_id, payload_bytes, payload_digest, record_type, refers_to`` per record.
+
+    Null ids and payloads come back as such and as empty; payloads may be of any length; repeated rows are records of their own; an
+    empty table gives no rows; other columns are not read.
+    """
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
     write_archives(pages, path, min_revisit_bytes)

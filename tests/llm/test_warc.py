@@ -88,3 +88,13 @@ def test_quarantine_reaches_the_table(spark, tmp_path):
     assert [r.record_id for r in rows if r.gap_reason is None] == ["0", "2", "3"]
     gaps = [r for r in rows if r.gap_reason]
     assert [r.end - r.start for r in gaps] == [len(parts[1]) - 9, 10]
+
+
+def test_a_bad_record_in_a_member_hides_no_other():
+    parts = [warc.record_bytes(i, f"http://{i}", f"payload {i} ".encode() * 30, None) for i in range(5)]
+    parts[2] = parts[2].replace(b"payload 2 payload", b"payload X payload")
+    both = warc._member(b"".join(parts))
+    ids, gaps = read(both + warc._member(parts[0]))
+    assert ids == [0, 1, 3, 4, 0] and [(g.start, g.end) for g in gaps] == [(0, len(both))] and "digest" in gaps[0].reason
+    old = parts[3].replace(b"WARC/1.1", b"WARC/0.18")
+    assert read(b"junk" + old + parts[4])[0] == [3, 4]
