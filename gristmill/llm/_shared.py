@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +62,17 @@ def drop_scratch() -> None:
                 return
 
 
+#: Seconds between collections of garbage on the driver at least; steps that take less leave little on the disk.
+CLEAN_EVERY = 3.0
+_cleaned = [0.0]
+
+
+def _clean(spark: SparkSession) -> None:
+    if time.monotonic() - _cleaned[0] >= CLEAN_EVERY:
+        spark.sparkContext._jvm.System.gc()
+        _cleaned[0] = time.monotonic()
+
+
 def settle(df: DataFrame, name: str = "table", spent: tuple[DataFrame, ...] = ()) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -73,7 +85,7 @@ def settle(df: DataFrame, name: str = "table", spent: tuple[DataFrame, ...] = ()
     df.write.parquet(path)
     for old in spent:
         release(old)
-    spark.sparkContext._jvm.System.gc()
+    _clean(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
     return out

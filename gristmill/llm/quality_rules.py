@@ -79,7 +79,9 @@ def _repeat_words(words):
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, the measurements and ``fail_bits`` of every input row: each rule of ``RULES`` evaluated once.
 
-    Null texts have no words, as empty ones. Repeated rows are rows of their own; other columns are not read.
+    Null texts have no words, as empty ones. A text may be of any length: its words are arrays of its own row, sorted but never
+    exploded, so time grows with n log n of its words. Repeated rows are rows of their own, whatever ids they share; other columns are
+    not read; an empty table gives no rows. A measurement just at a rule's bound passes.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     split = rows.select("doc_id", "text", F.filter(F.split("text", _WHITE), lambda w: w != "").alias("words"), F.filter(F.split("text", "\n"), lambda s: F.btrim(s, F.lit(" \t\n\x0b\f\r")) != "").alias("lines"))

@@ -286,7 +286,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Fingerprints link at ``radius`` or fewer differing bits; equal texts share a fingerprint, so copies never become pairs.
     Null texts and texts without words have fingerprint zero and link like any other. Null ids reach others but are never
-    the smallest; a group of null ids only has component null. Empty input gives no rows.
+    the smallest; a group of null ids only has component null. Rows that repeat an id are rows of their own and may be in
+    different groups. Texts may be of any length: time and memory of a text grow with its words. Empty input gives no rows.
     """
     prints = settle(fingerprints(docs, id_col, text_col, words_per_shingle, seed), "fingerprints")
     rooted = _grouped(prints, radius)

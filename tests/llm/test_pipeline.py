@@ -94,3 +94,16 @@ def test_queries_equal_their_sql(spark, sf_dir, name):
 
 def test_every_operator_is_registered():
     assert [n.split("_")[0] for n in registry.QUERIES] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_stages_keep_columns_of_any_name_and_take_long_and_repeated_rows(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(40)
+    long = spark.createDataFrame([(10**7, "the house and that of with " * 60_000, "en", "src0", 1)] * 3, DOCUMENTS)
+    odd = docs.unionByName(long).selectExpr("*", "1 AS size", "'t' AS taken", "2.0 AS target", "'x' AS _id", "4 AS _fp", "5 AS component", "6 AS fp")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, odd, small)
+        assert kept.columns == odd.columns
+        assert {tuple(r)[5:] for r in kept.collect()} == {(1, "t", 2.0, "x", 4, 5, 6)}
+        odd = kept
+    got = corpus_pipeline.mix_sources(spark, odd, small).collect()
+    assert sum(r.doc_id == 10**7 for r in got) == 1 and next(r["size"] for r in got if r.doc_id == 10**7) == 360_000

@@ -96,3 +96,20 @@ def test_classifier_rows_of_every_kind(spark):
     assert len(got) == 6 and not any(r.kept for r in got if r.doc_id in (1, 2))
     none = df.limit(0)
     assert quality_model.classify(none, quality_model.fit(none)).collect() == []
+
+
+def test_rows_that_repeat_an_id_are_judged_by_their_own_texts(spark):
+    good = "The house stands near the river, and it is old. We saw it in spring, when the water was high."
+    rows = [(1, f"{good} {i}") for i in range(30)] + [(1, "### $$$ !!! ??? %%% " * 4 + str(i)) for i in range(30)] + [(1, good)] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality_model.fit(df, sample=40)
+    got = quality_model.classify(df, model).collect()
+    assert sorted(r.kept for r in got) == [False] * 30 + [True] * 230
+    again = quality_model.fit(df.repartition(5), sample=40)
+    assert np.array_equal(again.weights, model.weights) and again.bias == model.bias
+
+
+def test_ledger_of_an_id_on_many_rows_and_of_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g h i j k"), (1, "x"), (1, None)], "doc_id long, text string").selectExpr("*", "9 AS n_words", "'z' AS words", "true AS kept", "1 AS fail_bits")
+    got = quality_rules.apply_policy(quality_rules.ledger(df)).collect()
+    assert sorted(r.n_words for r in got) == [0, 1, 11]
