@@ -36,7 +36,7 @@ _PAIRS: list[tuple[str, str, str | None]] = [
     ("r_strftime_year", "SELECT STRFTIME('%Y', o_orderdate) AS y, STRFTIME('%m-%d', o_orderdate) AS md, COUNT(*) AS n FROM orders GROUP BY STRFTIME('%Y', o_orderdate), STRFTIME('%m-%d', o_orderdate)", "SELECT strftime(o_orderdate, '%Y') AS y, strftime(o_orderdate, '%m-%d') AS md, count(*) AS n FROM orders GROUP BY 1, 2"),
     ("r_julianday_age", "SELECT o_orderkey, ROUND(JULIANDAY('2002-01-01') - JULIANDAY(o_orderdate), 3) AS days FROM orders", "SELECT o_orderkey, round((epoch(TIMESTAMP '2002-01-01') - epoch(o_orderdate)) / 86400, 3) AS days FROM orders"),
     ("r_text_dates", "SELECT o_orderkey, STRFTIME('%Y', o_orderdate) - STRFTIME('%m', o_orderdate) AS d, '2002-06-01' - o_orderdate AS age, STRFTIME('%Y', o_orderdate) - 1990 AS since, DATETIME() - CURRENT_TIMESTAMP AS z FROM orders", "SELECT o_orderkey, (year(o_orderdate) - month(o_orderdate))::BIGINT AS d, 2002 - year(o_orderdate) AS age, year(o_orderdate) - 1990 AS since, 0::BIGINT AS z FROM orders"),
-    ("r_group_concat", "SELECT c_nationkey, LENGTH(GROUP_CONCAT(c_name, ';')) AS n, GROUP_CONCAT(DISTINCT SUBSTR(c_name, 1, 3)) AS starts FROM customer GROUP BY c_nationkey", "SELECT c_nationkey, length(string_agg(c_name, ';')) AS n, string_agg(DISTINCT substr(c_name, 1, 3), ',') AS starts FROM customer GROUP BY c_nationkey"),
+    ("r_group_concat", "SELECT c_nationkey, LENGTH(GROUP_CONCAT(c_name, ';')) AS n, GROUP_CONCAT(DISTINCT SUBSTR(c_name, 1, 3)) AS starts FROM customer GROUP BY c_nationkey", "SELECT c_nationkey, length(string_agg(c_name, ';'))::INTEGER AS n, string_agg(DISTINCT substr(c_name, 1, 3), ',') AS starts FROM customer GROUP BY c_nationkey"),
     ("r_quoted_names", 'SELECT "n_name" AS `the name`, [n_regionkey] AS k FROM "nation" WHERE "n_name" <> \'x"y\'', 'SELECT n_name AS "the name", n_regionkey AS k FROM nation'),
     ("r_divide_by_zero", "SELECT n_nationkey, n_nationkey / n_regionkey AS q FROM nation", "SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN NULL ELSE (n_nationkey // n_regionkey)::DOUBLE END AS q FROM nation"),
     ("r_setops", "SELECT n_regionkey AS k FROM nation UNION SELECT n_nationkey FROM nation EXCEPT SELECT 3 INTERSECT SELECT 3", None),
