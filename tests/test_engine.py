@@ -56,6 +56,21 @@ def test_artifacts_and_results(spark, tmp_path):
     assert sorted(r.question_id for r in spark.read.parquet(path).collect()) == [1, 2, 3]
 
 
+def test_partitioned_index_compares_blocks(spark):
+    made = [(i, [float((i * 7 + j * j * 3) % 11 - 4) for j in range(3 if i % 9 == 4 else 5)]) for i in range(300)] + [(300, None), (None, [1.0] * 5)]
+    df = spark.createDataFrame(made, "vec_id long, embedding array<float>").coalesce(2)
+    asked = df.where("vec_id % 10 = 0")
+    exact = vectors.cosine_topk(asked, df, 4)
+    index = vectors.PartitionedIndex(df)
+    assert len(index.centres) > 8
+    found = index.search(asked, 4, probes=len(index.centres), block=7)  # a centre has several blocks on either side
+    scores = lambda x: sorted((r.query_id, r.rank, round(r.similarity_score, 9)) for r in x.collect())
+    assert scores(found) == scores(exact)
+    assert 0.5 < vectors.recall(index.search(asked, 4, probes=4, block=7), exact).head().recall <= 1
+    once = index.search(asked, 400, probes=len(index.centres), block=7)
+    assert once.count() == once.select("query_id", "vec_id").distinct().count() == 31 * 301
+
+
 def test_answer_cache(spark, tmp_path):
     cache = artifacts.AnswerCache(spark, str(tmp_path / "c"))
     messages = [{"role": "user", "content": "hi"}]
