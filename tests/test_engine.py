@@ -130,6 +130,25 @@ def test_examples_of_other_databases(spark):
         build_examples(q.limit(0))
 
 
+def test_questions_of_one_skeleton_are_compared_once(spark, monkeypatch):
+    from gristmill.operators import examples as module
+
+    texts = ["How many cats are there?", "List all towns", "Which town has 5 cats?", "Which town has 7 cats?", "How many towns are there?"]
+    made = [(i, None if i % 13 == 0 else f"d{i % 3}", texts[i % 5] if i % 17 else None) for i in range(200)]
+    q = spark.createDataFrame(made, "question_id int, db_id string, question string")
+    compared = []
+    monkeypatch.setattr(module, "nearest", lambda a, b, *x, **y: compared.append((a.count(), b.count())) or vectors.nearest(a, b, *x, **y))
+    got = {}
+    for r in similar_examples(q.where("question_id % 4 = 0"), build_examples(q), 6).collect():
+        got.setdefault(r.question_id, []).append((r["rank"], r.example_id, round(r.similarity_score, 9)))
+    assert compared and max(max(x) for x in compared) <= 5 * 4
+    unit = {r.question_id: r.embedding for r in build_examples(q).collect()}
+    for i, db, _ in made[::4]:
+        cos = {j: round(sum(x * y for x, y in zip(unit[i], unit[j], strict=True)), 6) for j, other, _ in made if other != db}
+        best = sorted(cos, key=lambda j: (-cos[j], j))[:6]
+        assert [x[1] for x in sorted(got[i])] == best and [x[0] for x in sorted(got[i])] == [1, 2, 3, 4, 5, 6]
+
+
 def test_linking_rules(spark):
     fields = [("students", c, i) for i, c in enumerate(("id", "name", "department_id"))] + [("departments", c, i) for i, c in enumerate(("id", "title"))]
     available = spark.createDataFrame(fields, "table string, column string, ordinal int")
