@@ -130,6 +130,18 @@ def test_examples_of_other_databases(spark):
         build_examples(q.limit(0))
 
 
+def test_equivalence_keeps_no_rows(spark):
+    a = spark.range(1000).selectExpr("id", "cast(id % 7 as string) s")
+    plan = equivalence.equivalent(a, a.orderBy("s"))._jdf.queryExecution().executedPlan().toString()
+    assert "keys=[row" not in plan and "hashpartitioning" not in plan
+    same = lambda x, y, r="strict": equivalence.equivalent(x, y, r).head().equal
+    swapped = a.withColumn("s", F.when(F.col("id") == 3, "4").when(F.col("id") == 4, "3").otherwise(F.col("s")))
+    for r in equivalence.RELATIONS:
+        assert same(a, a.orderBy(F.desc("id")), r) and not same(a, swapped, r) and same(a.union(swapped), swapped.union(a), r)
+        assert not same(a.union(a), a, r) and not same(a.where("id > 0"), a.where("id < 999"), r)
+        assert not same(a.where("id IN (1, 1, 2)").union(a.where("id = 1")), a.where("id IN (1, 2)").union(a.where("id = 2")), r)
+
+
 def test_questions_of_one_skeleton_are_compared_once(spark, monkeypatch):
     from gristmill.operators import examples as module
 
