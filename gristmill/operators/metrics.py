@@ -116,12 +116,23 @@ def required_tables(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", F.explode(sql_tables(F.col("SQL"))).alias("table"))
 
 
+#: Questions that one task brings together, about.
+TOGETHER = 1 << 15
+
+
 def required_columns(questions: DataFrame, available: DataFrame) -> DataFrame:
-    """``question_id, table, column``: names in a question's SQL that are columns of tables it names."""
-    names = questions.select("question_id", F.explode(F.array_distinct(F.transform(sql_identifiers(clean_sql(F.col("SQL"))), F.lower))).alias("name"))
-    columns = available.select(F.lower("table").alias("table"), F.lower("column").alias("column")).distinct()
-    tables = required_tables(questions)
-    return names.join(columns, names.name == columns.column).join(tables, ["question_id", "table"], "left_semi").select("question_id", "table", "column").distinct()
+    """``question_id, table, column``: names in a question's SQL that are columns of tables it names.
+
+    What the rows of a question name is brought together as two short arrays, next to one row that holds the schema; so the
+    fields are found inside the row. Questions are dealt to as many tasks as there are ``TOGETHER`` of them, which bounds what a task holds.
+    """
+    names = F.array_distinct(F.transform(sql_identifiers(clean_sql(F.col("SQL"))), F.lower))
+    rows = questions.where("question_id IS NOT NULL").select("question_id", names.alias("names"), F.array_distinct(sql_tables(F.col("SQL"))).alias("tables"))
+    parts = max(int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-questions.count() // TOGETHER))
+    each = rows.repartition(parts, "question_id").groupBy("question_id").agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("names", "tables")])
+    known = available.agg(F.collect_set(F.struct(F.lower("table").alias("table"), F.lower("column").alias("column"))).alias("known"))
+    asked = each.join(F.broadcast(known))
+    return asked.select("question_id", F.inline(F.filter("known", lambda x: F.array_contains("names", x["column"]) & F.array_contains("tables", x["table"]))))
 
 
 def failure_class() -> Column:

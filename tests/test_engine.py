@@ -142,6 +142,17 @@ def test_equivalence_keeps_no_rows(spark):
         assert not same(a.where("id IN (1, 1, 2)").union(a.where("id = 1")), a.where("id IN (1, 2)").union(a.where("id = 2")), r)
 
 
+def test_required_columns_of_rows_that_repeat_a_question(spark, monkeypatch):
+    available = spark.createDataFrame([("Town", "Area", 0), ("town", "born", 1), ("user", "Area", 0)], "table string, column string, ordinal int")
+    asked = [(1, "SELECT born FROM town"), (1, "SELECT area FROM user"), (2, None), (None, "SELECT area FROM user"), (3, "SELECT Area, area FROM town JOIN user"), *[(i, "SELECT area FROM user") for i in range(10, 60)]]
+    q = spark.createDataFrame(asked, "question_id int, SQL string")
+    monkeypatch.setattr(metrics, "TOGETHER", 2)
+    found = metrics.required_columns(q, available)
+    first = [(1, "town", "area"), (1, "town", "born"), (1, "user", "area"), (3, "town", "area"), (3, "user", "area")]
+    assert rows(found.where("question_id < 10")) == first and found.where("question_id >= 10").count() == 50
+    assert found.rdd.getNumPartitions() >= 27  # as many tasks as questions ask for
+
+
 def test_questions_of_one_skeleton_are_compared_once(spark, monkeypatch):
     from gristmill.operators import examples as module
 
