@@ -153,6 +153,19 @@ def test_required_columns_of_rows_that_repeat_a_question(spark, monkeypatch):
     assert found.rdd.getNumPartitions() >= 27  # as many tasks as questions ask for
 
 
+def test_pairs_of_blocks_reach_python_in_small_batches(spark):
+    key, labels = "spark.sql.execution.arrow.maxBytesPerBatch", ["a", "b", None]
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, str(256 << 20))
+        df = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)], labels[i % 3]) for i in range(90)], "vec_id long, embedding array<float>, label string")
+        found = vectors.cosine_topk(df.where("vec_id < 6"), df, 5, exclude_same="label", block=8).collect()
+        assert int(spark.conf.get(key).removesuffix("b")) <= 4 << 20
+    finally:
+        spark.conf.set(key, before)
+    assert len(found) == 30 and all(labels[r.query_id % 3] != labels[r.vec_id % 3] for r in found)
+
+
 def test_questions_of_one_skeleton_are_compared_once(spark, monkeypatch):
     from gristmill.operators import examples as module
 
