@@ -129,10 +129,15 @@ def column_signatures(catalog: Catalog, permutations: int = PERMUTATIONS) -> Dat
     """
     parts = []
     for t, df in catalog.tables.items():
+        # A file of few bytes is one task, however many rows it has; grams are much work a byte, so rows are dealt out first.
+        groups = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartition(groups, *[as_text(f.name, f.dataType) for f in df.schema.fields])
         cells = F.explode(F.array(*[F.struct(F.lit(f.name).alias("column"), as_text(f.name, f.dataType).alias("value")) for f in df.schema.fields])).alias("c")
         parts.append(df.select(F.lit(t).alias("table"), cells).select("table", "c.column", "c.value").where("value IS NOT NULL"))
     rows = reduce(DataFrame.unionByName, parts)
-    grams = rows.select("table", "column", F.explode(shingles(F.col("value"))).alias("gram")).distinct().select("table", "column", F.xxhash64("gram").alias("h"))
+    # Places are spread and the text cut at each, as shingles() would be evaluated element by element; a text of fewer than 3 is its own gram.
+    spread = rows.select("table", "column", "value", F.explode(F.sequence(F.lit(1), F.greatest(F.length("value") - 2, F.lit(1)))).alias("i"))
+    grams = spread.select("table", "column", F.expr("substring(value, i, 3)").alias("gram")).distinct().select("table", "column", F.xxhash64("gram").alias("h"))
     minima = [F.min(F.xxhash64("h", F.lit(s))).alias(f"m{s}") for s in range(1, permutations + 1)]
     return grams.groupBy("table", "column").agg(*minima).select("table", "column", F.array(*[f"m{s}" for s in range(1, permutations + 1)]).alias("minhash"))
 

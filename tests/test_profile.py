@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from gristmill.operators import profile, render
 from gristmill.operators.values import cell_values, index_values, search_values
@@ -96,3 +97,16 @@ def test_rendered_schemas_read_back(spark):
     want = [("my table", 0, 'a "col|', "TEXT", False, None), ("my table", 1, "b", "INTEGER", True, "u.k"), ("u", 0, "k", "INTEGER", True, None)]
     for got in (render.parse_ddl(render.whole_schema(render.ddl(found, summaries, c.foreign_key_frame()))), render.parse_markdown(render.whole_schema(render.markdown(found, summaries)))):
         assert sorted(map(tuple, got.collect())) == want
+
+
+def test_signatures_of_a_small_file_are_many_tasks(spark):
+    from types import SimpleNamespace
+
+    one = spark.createDataFrame([(i, f"v{i % 40}", None if i % 2 else "xy") for i in range(200)], "k long, v string, w string").coalesce(1)
+    found = profile.column_signatures(SimpleNamespace(tables={"t": one}), 8)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
+    got = {r.column: list(r.minhash) for r in found.collect()}
+    for c in ("k", "v", "w"):
+        grams = one.select(F.explode(profile.shingles(F.col(c).cast("string"))).alias("g")).where("g IS NOT NULL").select(F.xxhash64("g").alias("h"))
+        assert got[c] == list(grams.agg(*[F.min(F.xxhash64("h", F.lit(s))).alias(str(s)) for s in range(1, 9)]).head())
